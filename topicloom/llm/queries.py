@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, quality
+from . import bpe, lines, minhash, mixing, quality
 from .common import env_path, table, text_or_empty
 
 #: The rank file is a parameter; this is its default place.
@@ -25,6 +25,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "kept_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def _held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
@@ -49,6 +54,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op2_lines": op2_lines,
         "op4_quality": op4_quality,
         "op5_mixing": op5_mixing,
         "op10_minhash": op10_minhash,
