@@ -12,7 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that go to Python workers stay under these, whatever the text lengths.
@@ -102,6 +102,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def identity(id_col: str, text_col: str) -> Column:
+    """The id, or a negative hash of the text where it is null."""
+    return F.coalesce(F.col(id_col).cast("long"), -F.abs(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))) - 1)
+
+
 def fraction(*columns):
     """A deterministic uniform in [0, 1) from the 64-bit hash of the columns."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / float(1 << 53)

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import identity, materialise
 
 THRESHOLD, MIN_CHARS = 2, 20
 #: A key with more (indexed x probing) lines is partitioned again.
@@ -158,15 +158,11 @@ def near_links(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HO
     return both.where(within(longer, shorter, threshold)).select("a", "b")
 
 
-def _identity(id_col: str, text_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), -F.abs(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))) - 1)
-
-
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
     """``df`` with repeated lines taken out of ``text_col``, and ``n_lines`` and ``kept_lines`` after its columns (replaced if there)."""
     if min_chars <= threshold:
         raise ValueError("min_chars must exceed threshold")
-    lines = df.select(_identity(id_col, text_col).alias("doc"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("n", "line"))
+    lines = df.select(identity(id_col, text_col).alias("doc"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("n", "line"))
     lines = lines.where(F.length("line") >= min_chars)
     # equal lines: by 128 bits of hash; the text itself is the first's
     h = lines.select("doc", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "line")
@@ -179,7 +175,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     kept = first.select("id", "doc", "n").join(gone, "id", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("n")).alias("ns"))
     flags = F.flatten(F.transform("ns", lambda n, i: F.concat(F.array_repeat(F.lit(False), n - F.coalesce(F.get("ns", i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
     kept = kept.select(F.col("doc").alias("_doc"), flags.alias("_flags"))
-    out = df.withColumn("_id", _identity(id_col, text_col)).join(kept, F.col("_id") == F.col("_doc"), "left")
+    out = df.withColumn("_id", identity(id_col, text_col)).join(kept, F.col("_id") == F.col("_doc"), "left")
     parts = F.split(F.coalesce(text_col, F.lit("")), "\n")
     stay = F.filter(parts, lambda x, i: (F.length(x) < min_chars) | F.coalesce(F.get("_flags", i), F.lit(False)))
     out = out.withColumn("_stay", stay)

@@ -18,7 +18,7 @@ have all their remaining pairs across components verified, so no candidate
 link is lost. A hub's comparisons are dealt out by salt.
 
 Defined results: ids should be unique; a null id is replaced by a negative
-hash of its text for comparison only. Null and empty texts (no words) are all
+hash of its text, also in the result. Null and empty texts (no words) are all
 of one class. Rows repeat as they do in the input. An empty table gives none.
 """
 
@@ -31,7 +31,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, session, ship_code
+from .common import identity, materialise, session, ship_code
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -234,8 +234,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, salt_rows: int = SALT_ROWS) -> D
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: its id and ``class_id``, the least id among the documents that links connect it with."""
-    ident = F.coalesce(F.col(id_col).cast("long"), -F.abs(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))) - 1)
-    docs = df.select(ident.alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(identity(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     sig = materialise(signed(docs, bands, rows), "near-signatures")
     reps = materialise(sig.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
     spread = reps.select("rep", F.explode("bands").alias("key"))
