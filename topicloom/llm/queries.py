@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, minhash, mixing, quality
+from . import bpe, chat, lines, minhash, mixing, quality
 from .common import env_path, table, text_or_empty
 
 #: The rank file is a parameter; this is its default place.
@@ -47,6 +47,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.transform("draws", lambda d: d.shard).alias("shards"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    return chat.read_back(chat.format_turns(chat.canonical_rows(rows.unionByName(more))))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,6 +64,7 @@ def queries() -> dict:
         "op2_lines": op2_lines,
         "op4_quality": op4_quality,
         "op5_mixing": op5_mixing,
+        "op7_chat": op7_chat,
         "op10_minhash": op10_minhash,
     }
 
