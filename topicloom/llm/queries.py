@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, minhash, mixing, quality
+from . import bpe, chat, html_extract, lines, minhash, mixing, quality
 from .common import env_path, table, text_or_empty
 
 #: The rank file is a parameter; this is its default place.
@@ -47,6 +47,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.transform("draws", lambda d: d.shard).alias("shards"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -64,6 +69,7 @@ def queries() -> dict:
         "op2_lines": op2_lines,
         "op4_quality": op4_quality,
         "op5_mixing": op5_mixing,
+        "op6_html": op6_html,
         "op7_chat": op7_chat,
         "op10_minhash": op10_minhash,
     }
