@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, lines, minhash, mixing, quality
+from . import ann, bpe, chat, html_extract, lines, minhash, mixing, quality
 from .common import env_path, table, text_or_empty
 
 #: The rank file is a parameter; this is its default place.
@@ -59,6 +59,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.canonical_rows(rows.unionByName(more))))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -71,6 +75,7 @@ def queries() -> dict:
         "op5_mixing": op5_mixing,
         "op6_html": op6_html,
         "op7_chat": op7_chat,
+        "op9_ann": op9_ann,
         "op10_minhash": op10_minhash,
     }
 
