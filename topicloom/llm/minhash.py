@@ -40,7 +40,10 @@ BANDS, ROWS = 24, 5
 ROUNDS = 5
 #: One task compares a hub with about so many members.
 SALT_ROWS = 512
-_PART_WORDS = 1 << 20
+#: Documents are worked on in parts of about so many bytes of text.
+_PART_BYTES = 1 << 20
+#: Up to so many ids of candidates are broadcast; beyond, texts are shuffled to them.
+MOST_IDS = 1_000_000
 
 
 @lru_cache(1)
@@ -49,7 +52,7 @@ def _word_hashes():
 
     class Hashes(dict):
         def __missing__(self, word):
-            if len(self) > 500_000:
+            if len(self) > 200_000:
                 self.clear()
             self[word] = h = xxhash.xxh3_64_intdigest(word)
             return h
@@ -152,7 +155,7 @@ def _in_parts(values):
     at = 0
     while at < len(values):
         end, size = at, 0
-        while end < len(values) and size < _PART_WORDS * 4:
+        while end < len(values) and size < _PART_BYTES:
             size += len(values[end] or "") + 64
             end += 1
         yield at, end
@@ -164,7 +167,7 @@ def _words(text):
 
 
 def signed(df: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, text) -> (id, digest of the words, band keys; no keys without words)."""
+    """(id, text) -> (id, digest of the words, number of shingles, band keys; no keys without words)."""
     ship_code(session(df))
 
     def run(batches):
@@ -177,14 +180,14 @@ def signed(df: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 words = [_words(t) for t in texts[at:end]]
                 digests = [hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() for w in words]
                 full = [i for i, w in enumerate(words) if w]
-                keys = np.zeros((len(words), bands), np.int64)
+                keys, n = np.zeros((len(words), bands), np.int64), [max(1, len(w) - SHINGLE + 1) if w else 0 for w in words]
                 if full:
                     keys[full] = band_keys(signatures([shingle_hashes(words[i]) for i in full], bands * rows), bands, rows)
                 offsets = np.concatenate([[0], np.cumsum([bands if w else 0 for w in words])]).astype(np.int32)
                 flat = pa.array(keys[full].reshape(-1) if full else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "digest", "n", "bands"])
 
-    return df.mapInArrow(run, "id long, digest binary, bands array<long>")
+    return df.mapInArrow(run, "id long, digest binary, n long, bands array<long>")
 
 
 def element_sets(df: DataFrame) -> DataFrame:
@@ -236,24 +239,27 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """One row per document: its id and ``class_id``, the least id among the documents that links connect it with."""
     docs = df.select(identity(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     sig = materialise(signed(docs, bands, rows), "near-signatures")
-    reps = materialise(sig.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
-    spread = reps.select("rep", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    reps = materialise(sig.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
+    spread = reps.select("rep", "n", F.explode("bands").alias("key"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     members = materialise(spread.join(shared, "key", "left_semi"), "near-buckets")
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    sets = materialise(element_sets(docs.join(ids, "id", "left_semi").dropDuplicates(["id"])), "near-sets")
+    ids = materialise(members.select(F.col("rep").alias("id")).distinct(), "near-ids")
+    few = ids.count() <= MOST_IDS
+    sets = materialise(element_sets(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")).dropDuplicates(["id"]), "near-sets")
     links = labels = tested = None
+    # sizes further apart than the similarity can't reach it
+    fit = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
     for turn in range(rounds + 1):
         m = members.withColumn("label", F.col("rep"))
         if labels is not None:
-            m = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-        hub = m.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep"), F.col("rep").alias("hub"), F.col("label").alias("at"))).alias("h"), F.min("label").alias("l"), F.max("label").alias("u")).where("l <> u").select("key", "h.hub", "h.at")
+            m = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        hub = m.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep"), F.col("rep").alias("hub"), F.col("label").alias("at"), F.col("n").alias("hub_n"))).alias("h"), F.min("label").alias("l"), F.max("label").alias("u")).where("l <> u").select("key", "h.hub", "h.at", "h.hub_n")
         m = materialise(m.join(hub, "key"), "near-open")  # buckets that still hold two components
         if turn < rounds:
-            pairs = m.where("label <> at").select(F.least("hub", "rep").alias("x"), F.greatest("hub", "rep").alias("y"), F.col("hub").alias("a"), F.col("rep").alias("b"))
+            pairs = m.where("label <> at").where(fit("n", "hub_n")).select(F.least("hub", "rep").alias("x"), F.greatest("hub", "rep").alias("y"), F.col("hub").alias("a"), F.col("rep").alias("b"))
         else:  # all that is left, across components
-            o = m.select("key", F.col("rep").alias("rep2"), F.col("label").alias("label2"))
-            pairs = m.join(o, "key").where("label <> label2 and rep < rep2").select(F.col("rep").alias("x"), F.col("rep2").alias("y"), F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            o = m.select("key", F.col("rep").alias("rep2"), F.col("label").alias("label2"), F.col("n").alias("n2"))
+            pairs = m.join(o, "key").where("label <> label2 and rep < rep2").where(fit("n", "n2")).select(F.col("rep").alias("x"), F.col("rep2").alias("y"), F.col("rep").alias("a"), F.col("rep2").alias("b"))
         pairs = pairs.groupBy("x", "y").agg(F.min("a").alias("a"), F.max("b").alias("b")) if turn == rounds else pairs.groupBy("x", "y").agg(F.max("a").alias("a"), F.max_by("b", "a").alias("b"))
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
