@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html_extract, lines, minhash, mixing, quality
+from . import ann, bpe, chat, html_extract, lines, minhash, mixing, mtree, quality
 from .common import env_path, table, text_or_empty
 
 #: The rank file is a parameter; this is its default place.
@@ -59,6 +59,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.canonical_rows(rows.unionByName(more))))
 
 
+def op8_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(table(spark, sf_dir, "embeddings"), 50, scale=256, k=5)
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
 
@@ -75,10 +79,34 @@ def queries() -> dict:
         "op5_mixing": op5_mixing,
         "op6_html": op6_html,
         "op7_chat": op7_chat,
+        "op8_mtree": op8_mtree,
         "op9_ann": op9_ann,
         "op10_minhash": op10_minhash,
     }
 
 
+_OP8 = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+#: A turn's piece: two marks of 12 and 10 characters, two line ends, and the escaped role and text.
+_OP7 = """
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, len(text) + len(regexp_extract_all(text, '\\\\|<\\|im_start\\|>|<\\|im_end\\|>|<\\|endoftext\\|>|<\\|system\\|>|<\\|user\\|>|<\\|assistant\\|>|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>')) as written from t)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(len(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(24 + len(role) + written) as bigint) as formatted_chars
+from e group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat": _OP7, "op8_mtree": _OP8}
