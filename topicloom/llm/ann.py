@@ -27,7 +27,7 @@ from .common import materialise, session, ship_code
 from .vectors import as_bytes, matrix, padded, usable, width
 
 SAMPLE, SLICE, CODES = 16_384, 4, 256
-PROBED, RERANK = 0.65, 60
+PROBED, RERANK = 0.75, 60
 BLOCK, CHUNK, SEED = 8192, 1024, 41
 
 
@@ -119,6 +119,7 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
         out_q, out_i, out_s = [], [], []
         if len(a) and len(b):
             c, books_ = model.value
+            a = a.sort_by("id")  # equal approximations then go to the smaller ids
             ids, codes = np.asarray(a["id"]), matrix(a["codes"], len(books_), "u1")
             v, q, names = matrix(a["v"], d), matrix(b["q"], d), np.asarray(b["query"])
             base = c[a["list"][0].as_py()]
@@ -128,9 +129,14 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
                 approx = np.repeat((part @ base)[:, None], len(ids), axis=1)
                 for m, book in enumerate(books_):  # asymmetric: the query's slice is exact
                     approx += (part[:, m * SLICE : (m + 1) * SLICE] @ book.T)[:, codes[:, m]]
-                top = np.argpartition(-approx, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
                 for j in range(len(part)):
-                    at = top[j][ids[top[j]] != names[s + j]]
+                    if take < len(ids):
+                        cut = np.partition(approx[j], len(ids) - take)[len(ids) - take]
+                        over = np.flatnonzero(approx[j] > cut)
+                        at = np.concatenate([over, np.flatnonzero(approx[j] == cut)[: take - len(over)]])
+                    else:
+                        at = np.arange(len(ids))
+                    at = at[ids[at] != names[s + j]]
                     exact = (v[at] * part[j]).sum(axis=1)
                     keep = np.lexsort((ids[at], -exact))[:k]
                     out_q.append(np.full(len(keep), names[s + j])), out_i.append(ids[at][keep]), out_s.append(exact[keep])
