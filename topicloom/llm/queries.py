@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html_extract, lines, minhash, mixing, mtree, quality
+from . import ann, bpe, chat, html_extract, lines, minhash, mixing, mtree, quality, token_counts
 from .common import env_path, table, text_or_empty
 
 #: The rank file is a parameter; this is its default place.
@@ -30,6 +30,19 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "kept_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def edits():
+    """Three edits a document, set by its id and length: an insertion, a deletion, a replacement."""
+    n, i = F.length(text_or_empty()), F.coalesce(F.col("doc_id"), F.lit(0))
+    at = lambda k: F.pmod(F.xxhash64(F.lit(k), i), n + 1).cast("int")
+    edit = lambda a, b, t: F.struct(a.alias("start"), b.alias("end"), t.alias("text"))
+    return F.array(edit(at(1), at(1), F.concat(F.lit("New words "), i.cast("string"), F.lit("! "))), edit(at(2), at(2) + 40, F.lit("")), edit(at(3), at(3) + 5, F.lit("e\u0301 x")))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_after_edits(docs.withColumn("edits", edits()), RANKS, PATTERN)
+
+
 def _held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
@@ -75,6 +88,7 @@ def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op2_lines": op2_lines,
+        "op3_token_counts": op3_token_counts,
         "op4_quality": op4_quality,
         "op5_mixing": op5_mixing,
         "op6_html": op6_html,
