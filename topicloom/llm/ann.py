@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: an inverted file of product-quantised residuals with exact reranking.
 
-Fit: k-means centroids, and one codebook per slice of the residuals, on the
+Fit: k-means centroids, and one codebook per slice of the residuals brought to
+length 1, so that tight groups are told apart as finely as loose ones, on the
 first ``sample`` rows by hash; both are a few hundred kB and go to every task.
-Index: every row gets its nearest centroid's list and its residual's codes.
+Index: every row gets its nearest centroid's list, its residual's length and codes.
 Search: a query probes the lists of the largest inner product with their
 centroids; in a list, a table of inner products per slice and code gives each
 row's approximate score, and the best ``rerank`` rows of each list are scored
@@ -52,14 +53,23 @@ def nearest(x, c):
     return np.concatenate([np.argmax(x[i : i + 4096] @ c.T - half, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
 
 
+def unit(x):
+    """Rows at length 1, and their lengths."""
+    import numpy as np
+
+    n = np.sqrt((x * x).sum(axis=1))
+    return x / np.maximum(n, 1e-300)[:, None], n
+
+
 def fit(rows: DataFrame, d: int, lists: int, *, sample: int = SAMPLE, seed: int = SEED):
     """(centroids, codebooks) from at most ``sample`` rows of (id, v)."""
     import numpy as np
 
     taken = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).toPandas()
-    x, rng = np.array(taken["v"].tolist(), float).reshape(len(taken), d), np.random.default_rng(seed)
+    # a vector that many rows share takes one centroid
+    x, rng = np.unique(np.array(taken["v"].tolist(), float).reshape(len(taken), d), axis=0), np.random.default_rng(seed)
     c = kmeans(x, lists, rng)
-    rest = x - c[nearest(x, c)]
+    rest, _ = unit(x - c[nearest(x, c)])
     return c, [kmeans(rest[:, i : i + SLICE], CODES, rng, 8) for i in range(0, d, SLICE)]
 
 
@@ -88,11 +98,11 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
         for batch in batches:
             x = matrix(batch.column(1), d)
             at = nearest(x, c)
-            rest = x - c[at]
+            rest, far = unit(x - c[at])
             codes = np.stack([nearest(rest[:, m * SLICE : (m + 1) * SLICE], book).astype(np.uint8) for m, book in enumerate(b)], axis=1) if len(x) else np.empty((0, len(b)), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), pa.array(as_bytes(codes), pa.binary()), pa.array(as_bytes(x), pa.binary())], names=["id", "list", "codes", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), pa.array(far), pa.array(as_bytes(codes), pa.binary()), pa.array(as_bytes(x), pa.binary())], names=["id", "list", "far", "codes", "v"])
 
-    indexed = materialise(rows.mapInArrow(index, "id long, list int, codes binary, v binary"), "ivf-rows")
+    indexed = materialise(rows.mapInArrow(index, "id long, list int, far double, codes binary, v binary"), "ivf-rows")
     sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
 
     def probes(batches):
@@ -110,7 +120,7 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
     chunks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     # a task is a block of a list and a chunk of its queries; either side is dealt out to the other's parts
     plan = F.broadcast(sizes.join(chunks, "list"))  # at most 1024 lists
-    left = indexed.join(plan, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "codes", "v")
+    left = indexed.join(plan, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "far", "codes", "v")
     right = asked.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk"), "query", "q")
 
     def rank(a, b):
@@ -122,13 +132,14 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
             a = a.sort_by("id")  # equal approximations then go to the smaller ids
             ids, codes = np.asarray(a["id"]), matrix(a["codes"], len(books_), "u1")
             v, q, names = matrix(a["v"], d), matrix(b["q"], d), np.asarray(b["query"])
-            base = c[a["list"][0].as_py()]
+            base, far = c[a["list"][0].as_py()], np.asarray(a["far"])
             take = min(len(ids), rerank + k)
             for s in range(0, len(q), 64):
                 part = q[s : s + 64]
-                approx = np.repeat((part @ base)[:, None], len(ids), axis=1)
+                approx = np.zeros((len(part), len(ids)))
                 for m, book in enumerate(books_):  # asymmetric: the query's slice is exact
                     approx += (part[:, m * SLICE : (m + 1) * SLICE] @ book.T)[:, codes[:, m]]
+                approx = approx * far + (part @ base)[:, None]
                 for j in range(len(part)):
                     if take < len(ids):
                         cut = np.partition(approx[j], len(ids) - take)[len(ids) - take]
