@@ -35,6 +35,8 @@ from .common import identity, materialise
 THRESHOLD, MIN_CHARS = 2, 20
 #: A key with more (indexed x probing) lines is partitioned again.
 HOT_PAIRS, DEPTH = 4096, 3
+#: Up to so many ids of lines to compare are broadcast; beyond, lines are shuffled to them.
+MOST_IDS = 1_000_000
 
 
 def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -54,15 +56,15 @@ def _probes(threshold: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def segment_keys(line: Column, group: Column, threshold: int) -> Column:
-    """An array of (key, probe): ``probe`` is the place in ``_probes``."""
-    size, keys = F.length(line), []
+def segment_keys(line: Column, size: Column, group: Column, threshold: int) -> Column:
+    """An array of (key, probe), null where a substring doesn't fit: ``probe`` is the place in ``_probes``, ``size`` the line's length."""
+    keys = []
     for n, (less, i, shift) in enumerate(_probes(threshold)):
         start, length = _segment(size - less, i, threshold + 1)
         fits = (size >= less) & (start + shift >= 1) & (start + shift + length - 1 <= size)
         key = F.xxhash64(group, F.lit(i), size - less, F.substring(line, start + shift, length))
         keys.append(F.when(fits, F.struct(key.alias("key"), F.lit(n).cast("tinyint").alias("probe"))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+    return F.array(*keys)
 
 
 def _without_segment(line: Column, probe: Column, threshold: int) -> Column:
@@ -123,12 +125,13 @@ def within(longer: Column, shorter: Column, threshold: int) -> Column:
 
 
 def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
-    """(id, line) with distinct lines -> distinct (a, b), a < b: pairs that share a segment where the edit join looks."""
+    """(id, line, size) with distinct lines -> distinct (a, b), a < b: pairs that share a segment where the edit join looks."""
     own = [n for n, p in enumerate(_probes(threshold)) if p[0] == 0 and p[2] == 0]
-    level = lines.select("id", F.lit(0).cast("long").alias("group"), "line")
+    level = lines.select("id", F.lit(0).cast("long").alias("group"), "line", "size")
     found = None
     for turn in range(depth):
-        keyed = level.select("id", F.explode(segment_keys(F.col("line"), F.col("group"), threshold)).alias("k")).select("id", "k.key", "k.probe")
+        own_group = ["group"] if turn else []  # the same for all lines at first
+        keyed = level.select("id", *own_group, F.explode(segment_keys(F.col("line"), F.col("size"), F.col("group"), threshold)).alias("k")).where("k is not null").select("id", *own_group, "k.key", "k.probe")
         keyed = keyed.repartition("key")  # one exchange, for the counts and for the rows
         counts = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.when(F.col("probe").isin(own), 1)).alias("indexed"), F.count(F.lit(1)).alias("probing"))
         busy = counts.where("lo <> hi and indexed > 0").select("key", (F.col("indexed") * F.col("probing") > (hot_pairs if turn < depth - 1 else 1 << 62)).alias("hot"))
@@ -139,18 +142,21 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HO
         found = pairs if found is None else found.unionByName(pairs)
         if turn == depth - 1:
             break
-        hot = busy.where("hot")
+        hot = busy.where("hot").select("id", *own_group, "key", "probe")
         if hot.isEmpty():
             break
-        level = level.select("id", "group", "line").join(hot, "id").select("id", F.col("key").alias("group"), _without_segment(F.col("line"), F.col("probe"), threshold).alias("line")).distinct()
-        level = materialise(level, "line-rest")
+        level = level.select("id", *own_group, "line").join(hot, ["id", *own_group]).select("id", F.col("key").alias("group"), _without_segment(F.col("line"), F.col("probe"), threshold).alias("line")).distinct()
+        level = materialise(level.withColumn("size", F.length("line")), "line-rest")
     return found.distinct()
 
 
 def near_links(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
     """(id, line) with distinct lines -> (a, b) of all lines within ``threshold`` edits."""
-    lines = lines.select("id", "line")
-    pairs = candidates(lines, threshold, hot_pairs, depth)
+    lines = lines.select("id", "line", F.length("line").alias("size")) if "size" not in lines.columns else lines.select("id", "line", "size")
+    pairs = materialise(candidates(lines, threshold, hot_pairs, depth), "line-pairs")
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
+    few = ids.count() <= MOST_IDS
+    lines = materialise(lines.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "line"), "line-texts")
     left, right = lines.select(F.col("id").alias("a"), F.col("line").alias("p")), lines.select(F.col("id").alias("b"), F.col("line").alias("q"))
     both = pairs.join(left, "a").join(right, "b").where(F.abs(F.length("p") - F.length("q")) <= threshold)
     swap = F.length("p") < F.length("q")
@@ -167,7 +173,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     # equal lines: by 128 bits of hash; the text itself is the first's
     h = lines.select("doc", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "line")
     first = h.groupBy("id", "id2").agg(F.min(F.struct("doc", "n")).alias("at"), F.first("line").alias("line"))
-    first = materialise(first.select(F.xxhash64("id", "id2").alias("id"), F.col("at.doc").alias("doc"), F.col("at.n").alias("n"), "line"), "line-distinct")
+    first = materialise(first.select(F.xxhash64("id", "id2").alias("id"), F.col("at.doc").alias("doc"), F.col("at.n").alias("n"), "line", F.length("line").alias("size")), "line-distinct")
     links = near_links(first, threshold, hot_pairs, depth)
     at = first.select("id", F.struct("doc", "n").alias("at"))
     later = links.join(at.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
