@@ -123,12 +123,12 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, *, text_col: str
     spark = session(df)
     ship_code(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(rank_path))  # one file of about 1 MB
-    new = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))] * bool(ids_col) + [T.StructField(bytes_col, T.BinaryType())] * bool(bytes_col)
+    new = ([T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))] if ids_col else []) + ([T.StructField(bytes_col, T.BinaryType())] if bytes_col else [])
 
     def work(texts):
         enc = encoder(ranks.value, pattern)
         ids = [encode_text(t, enc, pattern) if t else [] for t in texts]
-        return [ids] * bool(ids_col) + ([[enc.decode_bytes(x) for x in ids]] if bytes_col else [])
+        return ([ids] if ids_col else []) + ([[enc.decode_bytes(x) for x in ids]] if bytes_col else [])
 
     return _apply(df, new, work, text_col)
 
