@@ -28,17 +28,17 @@ def nmi_ari(labels: DataFrame, truth: DataFrame, least: int = 10) -> DataFrame:
     t = contingency(labels, truth)
     a = t.groupBy("cluster_id").agg(F.sum("n").alias("na"))
     b = t.groupBy("label").agg(F.sum("n").alias("nb"))
-    total = t.agg(F.sum("n").alias("N"))
-    h = lambda d, c: d.join(total).agg((-F.sum(F.col(c) / F.col("N") * F.log(F.col(c) / F.col("N")))).alias("h"), F.sum(F.col(c) * (F.col(c) - 1) / 2).alias("pairs"))
-    mi = t.join(a, "cluster_id").join(b, "label").join(total).agg(F.sum(F.col("n") / F.col("N") * F.log(F.col("N") * F.col("n") / (F.col("na") * F.col("nb")))).alias("mi"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("both"), F.max("N").alias("N"))
+    total = t.agg(F.sum("n").alias("all_n"))
+    h = lambda d, c: d.join(total).agg((-F.sum(F.col(c) / F.col("all_n") * F.log(F.col(c) / F.col("all_n")))).alias("h"), F.sum(F.col(c) * (F.col(c) - 1) / 2).alias("pairs"))
+    mi = t.join(a, "cluster_id").join(b, "label").join(total).agg(F.sum(F.col("n") / F.col("all_n") * F.log(F.col("all_n") * F.col("n") / (F.col("na") * F.col("nb")))).alias("mi"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("both"), F.max("all_n").alias("all_n"))
     r = mi.join(h(a, "na").select(F.col("h").alias("ha"), F.col("pairs").alias("pa"))).join(h(b, "nb").select(F.col("h").alias("hb"), F.col("pairs").alias("pb")))
     mean = (F.col("ha") + F.col("hb")) / 2
     nmi = F.when(mean > 0, F.col("mi") / mean).otherwise(1.0)
-    expected = F.col("pa") * F.col("pb") / (F.col("N") * (F.col("N") - 1) / 2)
+    expected = F.col("pa") * F.col("pb") / (F.col("all_n") * (F.col("all_n") - 1) / 2)
     top = (F.col("pa") + F.col("pb")) / 2
     ari = F.when(top != expected, (F.col("both") - expected) / (top - expected)).otherwise(1.0)
-    enough = F.col("N") >= least
-    return r.select(F.col("N").cast("long").alias("matched"), F.when(enough, F.round(nmi, 4)).alias("nmi"), F.when(enough, F.round(ari, 4)).alias("ari"))
+    enough = F.col("all_n") >= least
+    return r.select(F.col("all_n").cast("long").alias("matched"), F.when(enough, F.round(nmi, 4)).alias("nmi"), F.when(enough, F.round(ari, 4)).alias("ari"))
 
 
 def balanced(labels: DataFrame, truth: DataFrame) -> DataFrame:
@@ -63,11 +63,11 @@ def kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rows = t.groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("ra"))
     cols = t.groupBy(F.col("b").alias("k")).agg(F.sum("n").alias("rb"))
     chance = rows.join(cols, "k").agg(F.coalesce(F.sum(F.col("ra") * F.col("rb")), F.lit(0.0)).alias("e"))
-    o = t.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("N"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0.0)).alias("o")).join(chance)
-    po, pe = F.col("o") / F.col("N"), F.col("e") / (F.col("N") * F.col("N"))
-    k = F.when(F.col("N") == 0, 0.0).when(pe >= 1, 1.0).otherwise((po - pe) / (1 - pe))
+    o = t.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("all_n"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0.0)).alias("o")).join(chance)
+    po, pe = F.col("o") / F.col("all_n"), F.col("e") / (F.col("all_n") * F.col("all_n"))
+    k = F.when(F.col("all_n") == 0, 0.0).when(pe >= 1, 1.0).otherwise((po - pe) / (1 - pe))
     band = F.when(k >= 0.81, "almost perfect").when(k >= 0.61, "substantial").when(k >= 0.41, "moderate").when(k >= 0.21, "fair").otherwise("slight")
-    return o.select(F.col("N").cast("long").alias("n"), F.round(F.when(F.col("N") > 0, po).otherwise(0.0), 6).alias("accuracy"), F.round(k, 6).alias("kappa"), band.alias("band"))
+    return o.select(F.col("all_n").cast("long").alias("n"), F.round(F.when(F.col("all_n") > 0, po).otherwise(0.0), 6).alias("accuracy"), F.round(k, 6).alias("kappa"), band.alias("band"))
 
 
 def kappa_bootstrap(pairs: DataFrame, b: int = 1000, seed: int = 42) -> DataFrame:
@@ -115,8 +115,8 @@ def neighbour_entropy(knn: DataFrame, labels: DataFrame) -> DataFrame:
     """(item_id, entropy): of the labels among the item itself and its neighbours."""
     near = knn.select(F.col("i").alias("q"), F.col("j").alias("item_id")).unionByName(labels.select(F.col("item_id").alias("q"), "item_id"))
     n = near.join(labels, "item_id").groupBy("q", "cluster_id").agg(F.count(F.lit(1)).cast(D).alias("n"))
-    total = n.groupBy("q").agg(F.sum("n").alias("N"))
-    p = F.col("n") / F.col("N")
+    total = n.groupBy("q").agg(F.sum("n").alias("all_n"))
+    p = F.col("n") / F.col("all_n")
     return n.join(total, "q").groupBy("q").agg(F.round(-F.sum(p * F.log(p + 1e-10)), 6).alias("entropy")).withColumnRenamed("q", "item_id")
 
 

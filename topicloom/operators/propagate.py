@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Products of six-digit weights often end in a 5 at the seventh digit; this sends them all upwards.
+HALF_UP = 1e-9
+
 
 def donors(weights: DataFrame, items: DataFrame, min_concepts: int = 3) -> DataFrame:
     """(conv_id, donor_id, n): the turn with most concepts of each conversation of two items or more, if it has enough."""
@@ -27,7 +30,7 @@ def propagate(weights: DataFrame, items: DataFrame, *, inherit: float = 0.5, min
     n = weights.groupBy("item_id").agg(F.count(F.lit(1)).alias("have"))
     poor = items.select("item_id", "conv_id").join(d, "conv_id").where("item_id <> donor_id").join(n, "item_id", "left").fillna(0, ["have"]).where(F.col("have") < min_concepts)
     given = poor.select("item_id", "donor_id").join(weights.select(F.col("item_id").alias("donor_id"), "concept", (F.col("weight") * inherit).alias("weight")), "donor_id")
-    new = given.join(weights.select("item_id", "concept"), ["item_id", "concept"], "left_anti").select("item_id", "concept", F.round("weight", 6).alias("weight"))
+    new = given.join(weights.select("item_id", "concept"), ["item_id", "concept"], "left_anti").select("item_id", "concept", F.round(F.col("weight") + HALF_UP, 6).alias("weight"))
     touched = new.select("item_id").distinct()
     own = weights.select("item_id", "concept", "weight")
     return own.join(touched, "item_id", "left_anti").unionByName(renormalised(own.join(touched, "item_id", "left_semi").unionByName(new), max_concepts))
@@ -55,7 +58,7 @@ def associates(weights: DataFrame, n_items: int, *, top_k: int = 20, min_pmi: fl
 def densify(weights: DataFrame, n_items: int, *, top_k: int = 20, decay: float = 0.3, min_pmi: float = 1.0, max_new: int = 20) -> DataFrame:
     """Adds associates of an item's concepts at ``weight * decay * min(pmi / 3, 1)``, the best parent's, at most ``max_new``; renormalised."""
     a = associates(weights, n_items, top_k=top_k, min_pmi=min_pmi)
-    gain = F.round(F.col("weight") * decay * F.least(F.col("pmi") / 3, F.lit(1.0)), 6)
+    gain = F.round(F.col("weight") * decay * F.least(F.col("pmi") / 3, F.lit(1.0)) + HALF_UP, 6)
     new = weights.select("item_id", "concept", "weight").join(a.select("concept", "associate", "pmi"), "concept").select("item_id", F.col("associate").alias("concept"), gain.alias("weight"))
     new = new.groupBy("item_id", "concept").agg(F.max("weight").alias("weight")).join(weights.select("item_id", "concept"), ["item_id", "concept"], "left_anti")
     best = Window.partitionBy("item_id").orderBy(F.desc("weight"), "concept")

@@ -124,9 +124,9 @@ def _nmi(labels: str, truth: str, least: int = 10) -> str:
 na as (select cluster_id, sum(n) as a from nt group by 1), nb as (select label, sum(n) as b from nt group by 1), nn as (select sum(n) as t from nt),
 ag as (select (select sum(n / t * ln(t * n / (a * b))) from nt join na using (cluster_id) join nb using (label), nn) as mi,
   (select -sum(a / t * ln(a / t)) from na, nn) as ha, (select -sum(b / t * ln(b / t)) from nb, nn) as hb,
-  (select sum(n * (n - 1) / 2) from nt) as both, (select sum(a * (a - 1) / 2) from na) as pa, (select sum(b * (b - 1) / 2) from nb) as pb, (select t from nn) as t),
+  (select sum(n * (n - 1) / 2) from nt) as bth, (select sum(a * (a - 1) / 2) from na) as pa, (select sum(b * (b - 1) / 2) from nb) as pb, (select t from nn) as t),
 nm as (select cast(t as bigint) as matched, case when t >= {least} then round(mi / ((ha + hb) / 2), 4) end as nmi,
-  case when t >= {least} then round((both - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 4) end as ari from ag)"""
+  case when t >= {least} then round((bth - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 4) end as ari from ag)"""
 
 
 RATERS = "ra as (select cast(quality as int) as a, cast(1 - toxic as int) as b from labels)"
@@ -174,13 +174,13 @@ dn as (select conv_id, item_id as donor_id, n from (select *, row_number() over
 
     d["conv_donor"] = f"with {donor(w)} select conv_id, donor_id, n from dn"
     d["conv_propagate"] = f"""with {donor(_weights(0.02))}, po as (select item_id, donor_id from nc join dn using (conv_id) where item_id <> donor_id and nc.n < 3),
-nw as (select po.item_id, g.concept, round(g.weight * 0.5::double, 6) as weight from po join w g on g.item_id = po.donor_id where not exists (select 1 from w o where o.item_id = po.item_id and o.concept = g.concept)),
+nw as (select po.item_id, g.concept, round(g.weight * 0.5::double + 1e-9::double, 6) as weight from po join w g on g.item_id = po.donor_id where not exists (select 1 from w o where o.item_id = po.item_id and o.concept = g.concept)),
 al as (select item_id, concept, weight from w where item_id in (select item_id from nw) union all select * from nw),
 tp as (select * from (select *, row_number() over (partition by item_id order by weight desc, concept) as r2 from al) where r2 <= 30)
 select item_id, concept, weight from w where item_id not in (select item_id from nw) union all select item_id, concept, round(weight / sum(weight) over (partition by item_id), 6) from tp"""
     d["cooccurrence"] = f"with {w} select x.concept as a, y.concept as b, count(*) as n from w x join w y using (item_id) where x.concept < y.concept group by 1, 2 having count(*) >= 2"
     d["pmi_topk"] = f"with {w}, {_assoc(20, '>= 1', 3, 'ln')} select concept, associate, round(pmi, 6) as pmi, rank from aso"
-    d["pmi_densify"] = f"""with {w}, {_assoc(20, '>= 1', 3, 'ln')}, nw as (select w.item_id, associate as concept, max(round(weight * 0.3::double * least(pmi / 3, 1.0::double), 6)) as weight from w join aso using (concept) group by 1, 2),
+    d["pmi_densify"] = f"""with {w}, {_assoc(20, '>= 1', 3, 'ln')}, nw as (select w.item_id, associate as concept, max(round(weight * 0.3::double * least(pmi / 3, 1.0::double) + 1e-9::double, 6)) as weight from w join aso using (concept) group by 1, 2),
 nx as (select * from (select *, row_number() over (partition by item_id order by weight desc, concept) as r from nw where not exists (select 1 from w o where o.item_id = nw.item_id and o.concept = nw.concept)) where r <= 20),
 al as (select item_id, concept, weight from w union all select item_id, concept, weight from nx) select item_id, concept, round(weight / sum(weight) over (partition by item_id), 6) as weight from al"""
     d["pmi_ablation"] = f"""with {w}, {_assoc(35, '> 0', 1, 'log2')} select item_id, concept, round(max(weight), 6) as weight from (select item_id, concept, weight from w
@@ -192,7 +192,7 @@ vc as (select term from (select term, count(*) as df, sum(tf) as total from tf g
     d["hybrid_vectors"] = f"with {w}, {CV}, {TFIDF}, hy as (select item_id, 'c:' || dim as dim, v * 0.8::double as v from cv union all select item_id, 't:' || dim, v * (1 - 0.8::double) from tv) select item_id, dim, round(v / sqrt(sum(v * v) over (partition by item_id)), 6) as v from hy"
     d["knn_dense"] = f"with {_knn(30)} select i, j, round(sim, 6) as sim, rank from kn"
     d["knn_sparse"] = f"""with {w}, {CV}, vr as (select item_id, dim, round(v, 6) as v from cv), sm as (select a.item_id as i, b.item_id as j, sum(a.v * b.v) as sim from vr a join vr b using (dim) where a.item_id <> b.item_id group by 1, 2),
-tp as (select i, round(sim, 6) as sim from (select *, row_number() over (partition by i order by sim desc, j) as r from sm) where r <= 10) select i, count(*) as n, round(sum(sim), 4) as total, round(max(sim), 5) as best from tp group by i"""
+tp as (select i, round(sim, 6) as sim from (select *, row_number() over (partition by i order by sim desc, j) as r from sm) where r <= 10) select i, count(*) as n, round(sum(sim), 3) as total, round(max(sim), 5) as best from tp group by i"""
     d["knn_edges"] = f"with {_edges()} select src, dst, round(weight, 6) as weight from ed"
     d["knn_min_shared"] = f"with {w}, {CV} select a.item_id as src, b.item_id as dst, count(*) as shared, round(sum(a.v * b.v), 5) as weight from cv a join cv b on a.dim = b.dim and a.item_id < b.item_id group by 1, 2 having sum(a.v * b.v) >= 0.05::double and count(*) >= 2"
     d["isolated_nodes"] = f"with {_edges(0.33)} select item_id from em where item_id not in (select src from sy)"
@@ -226,7 +226,7 @@ tp as (select i, round(sim, 6) as sim from (select *, row_number() over (partiti
     d["gt_propagate"] = f"with {w}, {CONCEPT_LAB}, v as (select item_id, label, round(sum(weight), 6) as s, min(concept) as c from w join cl using (concept) where label <> 'unknown' group by 1, 2) select item_id, label from (select *, row_number() over (partition by item_id order by s desc, c, label) as r from v) where r = 1"
     d["category_merge"] = f"with {w}, {CONCEPT_LAB}, k as (select label from (select label, count(*) as n from cl group by 1) order by n desc, label limit 6) select concept, case when label in (select label from k) then label when split_part(label, ':', 1) in (select label from k) then split_part(label, ':', 1) else 'other' end as label from cl"
     d["concept_frequency"] = f"with {w} select concept, count(*) as n from w group by 1 order by n desc, concept limit 50"
-    d["label_batches"] = f"with {w}, n as (select concept, count(*) as n from w group by 1) select concept, cast(floor((row_number() over (order by n desc, concept) - 1) / 50) as bigint) as batch from n"
+    d["label_batches"] = f"with {w}, cn as (select concept, count(*) as freq from w group by 1) select concept, cast(floor((row_number() over (order by freq desc, concept) - 1) / 50) as bigint) as batch from cn"
     d["verdict_stats"] = "with v as (select case when toxic = 1 then 'reject' when quality = 1 then 'accept' else 'borderline' end as v from labels) select count(*) as n, count(*) filter (where v = 'accept') as accepted, count(*) filter (where v = 'borderline') as borderline, count(*) filter (where v = 'reject') as rejected, round(count(*) filter (where v = 'accept') / cast(count(*) as double), 6) as accept_rate, round(count(*) filter (where v <> 'reject') / cast(count(*) as double), 6) as acceptable_rate from v"
     known = f"[{_list(q.CATEGORIES)}]"
     x = "trim(regexp_replace(regexp_replace(regexp_replace(lower(string_split(trim(answer), chr(10))[1]), '[\"''`]', '', 'g'), '^[-*•\\s]+', ''), '^category:\\s*', ''))"

@@ -163,7 +163,7 @@ def knn_sparse(s, d):
     v = vectors.concept_vectors(_weights(s, d)[2])
     v = v.withColumn("v", F.round("v", 6))
     k = knn.knn_sparse(v, 10).select("i", "j", F.round("sim", 6).alias("sim"))
-    return k.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sim"), 4).alias("total"), F.round(F.max("sim"), 5).alias("best"))
+    return k.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sim"), 3).alias("total"), F.round(F.max("sim"), 5).alias("best"))
 
 
 def knn_edges(s, d):
