@@ -13,6 +13,8 @@ def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) ->
 
 def windowed(events: DataFrame, window: str = "1 day", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total) by tumbling window; works on streams and on tables."""
+    if events.isStreaming:  # watermarks need a timestamp with a zone
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type")
     return w.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
