@@ -13,6 +13,7 @@ an earlier line go; the earlier one stays. Steps:
    one machine word holds the band's vertical differences, one step a
    character.
 
+Pairs whose character counts already differ by more are left out before.
 A key that many lines share is not expanded: its lines, without the shared
 segment, are partitioned again, which keeps every pair within the threshold,
 down to ``depth`` levels.
@@ -124,11 +125,27 @@ def within(longer: Column, shorter: Column, threshold: int) -> Column:
     return F.transform(pair, compare)[0] <= threshold
 
 
-def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
-    """(id, line, size) with distinct lines -> distinct (a, b), a < b: pairs that share a segment where the edit join looks."""
+#: Character classes whose counts tell most pairs apart before any is compared.
+CLASSES = ("[a-c]", "[d-f]", "[g-i]", "[j-m]", "[n-p]", "[q-s]", "[t-z]")
+
+
+def _counts(line: Column, size: Column) -> list[Column]:
+    own = [F.regexp_count(line, F.lit(c)) for c in CLASSES]
+    return [F.array(*own, size - sum(own[1:], own[0])).alias("counts")]
+
+
+def _may_be_near(a: str, b: str, threshold: int) -> Column:
+    """An edit changes the length by one at most, and the class counts by two in all."""
+    x, y = F.col(a), F.col(b)
+    off = [F.abs(F.get(x, F.lit(i)) - F.get(y, F.lit(i))) for i in range(len(CLASSES) + 1)]
+    return sum(off[1:], off[0]) <= 2 * threshold
+
+
+def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(id, line, size) with distinct lines -> distinct (a, b), a < b: pairs that share a segment where the edit join looks; and the lines that share any."""
     own = [n for n, p in enumerate(_probes(threshold)) if p[0] == 0 and p[2] == 0]
     level = lines.select("id", F.lit(0).cast("long").alias("group"), "line", "size")
-    found = None
+    found = texts = None
     for turn in range(depth):
         own_group = ["group"] if turn else []  # the same for all lines at first
         keyed = level.select("id", *own_group, F.explode(segment_keys(F.col("line"), F.col("size"), F.col("group"), threshold)).alias("k")).where("k is not null").select("id", *own_group, "k.key", "k.probe")
@@ -136,28 +153,33 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HO
         counts = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.when(F.col("probe").isin(own), 1)).alias("indexed"), F.count(F.lit(1)).alias("probing"))
         busy = counts.where("lo <> hi and indexed > 0").select("key", (F.col("indexed") * F.col("probing") > (hot_pairs if turn < depth - 1 else 1 << 62)).alias("hot"))
         busy = materialise(keyed.join(busy, "key"), "line-keys")
-        cool = busy.where("not hot")
-        left = cool.where(F.col("probe").isin(own)).select("key", F.col("id").alias("x"))
-        pairs = left.join(cool.select("key", F.col("id").alias("y")), "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        if texts is None:
+            ids = materialise(busy.select("id").distinct(), "line-ids")
+            few = ids.count() <= MOST_IDS
+            texts = lines.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+            texts = materialise(texts.select("id", "line", "size", *_counts(F.col("line"), F.col("size"))), "line-texts")
+        cool = busy.where("not hot").join(texts.select("id", "counts"), "id")
+        left = cool.where(F.col("probe").isin(own)).select("key", F.col("id").alias("x"), F.col("counts").alias("cx"))
+        right = cool.select("key", F.col("id").alias("y"), F.col("counts").alias("cy"))
+        pairs = left.join(right, (left["key"] == right["key"]) & (F.col("x") != F.col("y")) & _may_be_near("cx", "cy", threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = pairs if found is None else found.unionByName(pairs)
         if turn == depth - 1:
             break
         hot = busy.where("hot").select("id", *own_group, "key", "probe")
         if hot.isEmpty():
             break
-        level = level.select("id", *own_group, "line").join(hot, ["id", *own_group]).select("id", F.col("key").alias("group"), _without_segment(F.col("line"), F.col("probe"), threshold).alias("line")).distinct()
+        source = texts.withColumn("group", F.lit(0).cast("long")) if turn == 0 else level
+        level = source.select("id", *own_group, "line").join(hot, ["id", *own_group]).select("id", F.col("key").alias("group"), _without_segment(F.col("line"), F.col("probe"), threshold).alias("line")).distinct()
         level = materialise(level.withColumn("size", F.length("line")), "line-rest")
-    return found.distinct()
+    return found.distinct(), texts
 
 
 def near_links(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
     """(id, line) with distinct lines -> (a, b) of all lines within ``threshold`` edits."""
     lines = lines.select("id", "line", F.length("line").alias("size")) if "size" not in lines.columns else lines.select("id", "line", "size")
-    pairs = materialise(candidates(lines, threshold, hot_pairs, depth), "line-pairs")
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
-    few = ids.count() <= MOST_IDS
-    lines = materialise(lines.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "line"), "line-texts")
-    left, right = lines.select(F.col("id").alias("a"), F.col("line").alias("p")), lines.select(F.col("id").alias("b"), F.col("line").alias("q"))
+    pairs, texts = candidates(lines, threshold, hot_pairs, depth)
+    pairs = materialise(pairs, "line-pairs")
+    left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("p")), texts.select(F.col("id").alias("b"), F.col("line").alias("q"))
     both = pairs.join(left, "a").join(right, "b").where(F.abs(F.length("p") - F.length("q")) <= threshold)
     swap = F.length("p") < F.length("q")
     longer, shorter = F.when(swap, F.col("q")).otherwise(F.col("p")), F.when(swap, F.col("p")).otherwise(F.col("q"))
