@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import broad
+from ..session import ship_code
 
 #: Takes and gives pandas frames: (key, value) -> (key, label).
 Labeller = Callable[[Iterator], Iterator]
@@ -25,6 +26,7 @@ def rule_labeller(categories: list[str]) -> Labeller:
 
 def label(df: DataFrame, key: str, value: str, labeller: Labeller) -> DataFrame:
     """(key, label) from any labeller, in batches on the executors; a remote one crosses the network there."""
+    ship_code(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(value).alias("value")).mapInPandas(labeller, f"key {kind}, label string").withColumnRenamed("key", key)
 

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[tuple[str, str]] = set()
+
 
 def build(app: str = "topicloom", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; everything else is the cluster's own setting."""
@@ -33,3 +39,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/topicloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once a session.
+
+    The archive goes through Spark's own file service, so executors need
+    neither a shared folder nor a PYTHONPATH.
+    """
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # we run from an archive ourselves
+        return
+    files = sorted(root.rglob("*.py"))
+    key = spark.sparkContext.applicationId, hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
+    if key in _shipped:
+        return
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for p in files:
+            z.write(p, str(p.relative_to(root.parent)))
+    folder = Path(tempfile.mkdtemp(prefix="topicloom-code-"))
+    atexit.register(shutil.rmtree, folder, True)
+    (archive := folder / f"topicloom_{key[1]}.zip").write_bytes(buf.getvalue())
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(key)
