@@ -3,63 +3,29 @@
 from __future__ import annotations
 
 import atexit
-import hashlib
-import io
 import os
 import shutil
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+from ..session import ship_code as ship_package
+
 #: Arrow batches that go to Python workers stay under these, whatever the text lengths.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
-_shipped: set[tuple[str, str]] = set()
-
 
 def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Make this package importable in Python workers and bound their Arrow batches.
-
-    The archive goes through Spark's own file service, so executors need no
-    shared folder and no PYTHONPATH.
-    """
+    """Make this package importable in Python workers and bound their Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    root = Path(__file__).resolve().parents[1]
-    if not root.is_dir():
-        return
-    app = spark.sparkContext.applicationId
-    files = sorted(root.rglob("*.py"))
-    digest = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
-    if (app, digest) in _shipped:
-        return
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        for p in files:
-            z.write(p, str(p.relative_to(root.parent)))
-    folder = Path(tempfile.mkdtemp(prefix="topicloom-code-"))
-    atexit.register(shutil.rmtree, folder, True)
-    (archive := folder / f"topicloom_{digest}.zip").write_bytes(buf.getvalue())
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add((app, digest))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="topicloom-shared-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    ship_package(spark)
 
 
 def materialise(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
