@@ -11,7 +11,7 @@ from .common import materialise
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of ``links``; the label is the component's least node.
 
-    Minimum labels pass over the links, then each label is replaced by its own
+    Minimum labels pass over the links, and each label is replaced by its own
     label; every round is written out, so a path of n links takes about log n
     rounds and a lost executor costs one round at most. Null ends are ignored.
     """
@@ -20,11 +20,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = materialise(e.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select(F.col("x").alias("node"), "label"), "cc-labels")
     while True:
         near = e.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("low"))
-        low = labels.join(near, F.col("node") == F.col("x"), "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("low", "label")).alias("label"))
-        low = materialise(low, "cc-low")
-        up = low.select(F.col("node").alias("n"), F.col("label").alias("up"))
-        new = low.join(up, F.col("label") == F.col("n"), "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label"))
-        new = materialise(new, "cc-labels")
+        up = labels.select(F.col("node").alias("n"), F.col("label").alias("up"))
+        step = labels.join(near, F.col("node") == F.col("x"), "left").join(up, F.col("label") == F.col("n"), "left")
+        new = materialise(step.select("node", F.col("label").alias("was"), F.least("label", F.coalesce("low", "label"), F.coalesce("up", "label")).alias("label")), "cc-labels")
         labels = new.select("node", "label")
         if new.where("label <> was").isEmpty():
             return labels
+
+
+def joined(labels: DataFrame | None, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The labels of all links so far from those of earlier ones and the new links: only components are linked, not nodes."""
+    if labels is None:
+        return components(links, a, b)
+    of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
+    between = links.select(a, b).join(of(a, "_la"), a, "left").join(of(b, "_lb"), b, "left").select(F.coalesce("_la", a).alias("a"), F.coalesce("_lb", b).alias("b"))
+    moved = components(between.where("a <> b").distinct()).select(F.col("node").alias("_n"), F.col("label").alias("_to"))
+    old = labels.join(moved, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_to", "label").alias("label"))
+    new = moved.join(labels, F.col("_n") == F.col("node"), "left_anti").select(F.col("_n").alias("node"), F.col("_to").alias("label"))
+    return materialise(old.unionByName(new), "labels")

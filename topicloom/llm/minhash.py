@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import identity, materialise, session, ship_code
-from .graph import components
+from .graph import joined
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 5 registers: a pair at 0.8 is missed with probability 7e-5.
 BANDS, ROWS = 24, 5
-ROUNDS = 5
+ROUNDS = 3
 #: One task compares a hub with about so many members.
 SALT_ROWS = 512
 #: Documents are worked on in parts of about so many bytes of text.
@@ -246,7 +246,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ids = materialise(members.select(F.col("rep").alias("id")).distinct(), "near-ids")
     few = ids.count() <= MOST_IDS
     sets = materialise(element_sets(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")).dropDuplicates(["id"]), "near-sets")
-    links = labels = tested = None
+    labels = tested = None
     # sizes further apart than the similarity can't reach it
     fit = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
     for turn in range(rounds + 1):
@@ -272,8 +272,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         t = pairs.select("x", "y")
         tested = t if tested is None else tested.unionByName(t)
         new = found.where(F.col("similarity") >= similarity).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        labels = joined(labels, new)
     classes = reps.select("digest", "rep")
     if labels is not None:
         classes = classes.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("rep"))
