@@ -44,6 +44,8 @@ SALT_ROWS = 512
 _PART_BYTES = 1 << 20
 #: Up to so many ids of candidates are broadcast; beyond, texts are shuffled to them.
 MOST_IDS = 1_000_000
+#: Up to so many pairs of a round are broadcast to the sets.
+MOST_PAIRS = 500_000
 
 
 @lru_cache(1)
@@ -212,7 +214,9 @@ def overlaps(pairs: DataFrame, sets: DataFrame, salt_rows: int = SALT_ROWS) -> D
     left = sets.join(often, F.col("id") == F.col("a")).select("a", F.col("elements").alias("left"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     # the salt needs each pair's number of parts: joined on small rows, before the sets
     p = pairs.join(often, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "salt")
-    p = p.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("right")), "b").join(left, ["a", "salt"]).select("a", "b", "left", "right")
+    # few pairs go to the sets, so that a set is shuffled once a pair, to its hub, and not twice
+    p = F.broadcast(materialise(p, "near-salted")) if pairs.count() <= MOST_PAIRS else p
+    p = sets.select(F.col("id").alias("b"), F.col("elements").alias("right")).join(p, "b").join(left, ["a", "salt"]).select("a", "b", "left", "right")
 
     def run(batches):
         import numpy as np
