@@ -57,15 +57,25 @@ def _probes(threshold: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def segment_keys(line: Column, size: Column, group: Column, threshold: int) -> Column:
-    """An array of (key, probe), null where a substring doesn't fit: ``probe`` is the place in ``_probes``, ``size`` the line's length."""
-    keys = []
-    for n, (less, i, shift) in enumerate(_probes(threshold)):
-        start, length = _segment(size - less, i, threshold + 1)
-        fits = (size >= less) & (start + shift >= 1) & (start + shift + length - 1 <= size)
-        key = F.xxhash64(group, F.lit(i), size - less, F.substring(line, start + shift, length))
-        keys.append(F.when(fits, F.struct(key.alias("key"), F.lit(n).cast("tinyint").alias("probe"))))
-    return F.array(*keys)
+def keyed_rows(lines: DataFrame, threshold: int, *columns: str) -> DataFrame:
+    """(id, group, line, size) -> (columns, key, probe): a row per substring that a line indexes or probes.
+
+    ``probe`` is the place in ``_probes``. The places are exploded first and
+    one small expression makes the key, so that it is compiled; an array of
+    all keys is a method too large for the JVM to compile. Lines are read in
+    UTF-32, where a substring is found without reading what stands before it.
+    """
+    parts = threshold + 1
+    places = F.array(*[F.struct(F.lit(n).cast("tinyint").alias("probe"), F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for n, (less, i, shift) in enumerate(_probes(threshold))])
+    rows = lines.select(*columns, F.col("group").alias("_g"), F.encode("line", "UTF-32").alias("_w"), "size", F.explode(places).alias("_p"))
+    rows = rows.withColumn("_l", F.col("size") - F.col("_p.less")).where("_l >= 0")
+    rows = rows.withColumn("_base", F.expr(f"cast(_l div {parts} as int)")).withColumn("_longer", F.col("_l") % parts)
+    i = F.col("_p.i")
+    start = (i - 1) * F.col("_base") + F.greatest(F.lit(0), F.col("_longer") - (parts + 1 - i)) + 1 + F.col("_p.shift")
+    rows = rows.withColumn("_start", start).withColumn("_n", F.col("_base") + (F.col("_longer") > parts - i).cast("int"))
+    rows = rows.where("_start >= 1 and _start + _n - 1 <= size")
+    key = F.xxhash64("_g", i, "_l", F.substring(F.col("_w"), F.col("_start") * 4 - 3, F.col("_n") * 4))
+    return rows.select(*columns, key.alias("key"), F.col("_p.probe").alias("probe"))
 
 
 def _without_segment(line: Column, probe: Column, threshold: int) -> Column:
@@ -148,7 +158,7 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HO
     found = texts = None
     for turn in range(depth):
         own_group = ["group"] if turn else []  # the same for all lines at first
-        keyed = level.select("id", *own_group, F.explode(segment_keys(F.col("line"), F.col("size"), F.col("group"), threshold)).alias("k")).where("k is not null").select("id", *own_group, "k.key", "k.probe")
+        keyed = keyed_rows(level, threshold, "id", *own_group)
         keyed = keyed.repartition("key")  # one exchange, for the counts and for the rows
         counts = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.when(F.col("probe").isin(own), 1)).alias("indexed"), F.count(F.lit(1)).alias("probing"))
         busy = counts.where("lo <> hi and indexed > 0").select("key", (F.col("indexed") * F.col("probing") > (hot_pairs if turn < depth - 1 else 1 << 62)).alias("hot"))
