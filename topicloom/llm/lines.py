@@ -151,11 +151,17 @@ def _may_be_near(a: str, b: str, threshold: int) -> Column:
     return sum(off[1:], off[0]) <= 2 * threshold
 
 
-def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(id, line, size) with distinct lines -> distinct (a, b), a < b: pairs that share a segment where the edit join looks; and the lines that share any."""
+def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(id, line, size, at) with distinct lines -> distinct pairs (a, b) to compare, links (a, b) found already, and the lines that share a key.
+
+    ``at`` orders the lines. Where many lines share a key, the first of them is
+    compared with all others at once; a line within the threshold of it has an
+    earlier partner, so later levels look no further for partners of that line,
+    but still offer it to others.
+    """
     own = [n for n, p in enumerate(_probes(threshold)) if p[0] == 0 and p[2] == 0]
     level = lines.select("id", F.lit(0).cast("long").alias("group"), "line", "size")
-    found = texts = None
+    found = texts = stars = done = None
     for turn in range(depth):
         own_group = ["group"] if turn else []  # the same for all lines at first
         keyed = keyed_rows(level, threshold, "id", *own_group)
@@ -167,35 +173,52 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HO
             ids = materialise(busy.select("id").distinct(), "line-ids")
             few = ids.count() <= MOST_IDS
             texts = lines.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-            texts = materialise(texts.select("id", "line", "size", *_counts(F.col("line"), F.col("size"))), "line-texts")
-        cool = busy.where("not hot").join(texts.select("id", "counts"), "id")
-        left = cool.where(F.col("probe").isin(own)).select("key", F.col("id").alias("x"), F.col("counts").alias("cx"))
-        right = cool.select("key", F.col("id").alias("y"), F.col("counts").alias("cy"))
-        pairs = left.join(right, (left["key"] == right["key"]) & (F.col("x") != F.col("y")) & _may_be_near("cx", "cy", threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            texts = materialise(texts.select("id", "at", "line", "size", *_counts(F.col("line"), F.col("size"))), "line-texts")
+        cool = busy.where("not hot").join(texts.select("id", "at", "counts"), "id")
+        cool = cool.withColumn("done", F.lit(False)) if done is None else cool.join(done.withColumn("done", F.lit(True)), "id", "left").fillna(False, ["done"])
+        left = cool.where(F.col("probe").isin(own)).select("key", F.col("id").alias("x"), F.col("at").alias("ax"), F.col("done").alias("dx"), F.col("counts").alias("cx"))
+        right = cool.select("key", F.col("id").alias("y"), F.col("at").alias("ay"), F.col("done").alias("dy"), F.col("counts").alias("cy"))
+        open_ = ((F.col("ax") < F.col("ay")) & ~F.col("dy")) | ((F.col("ay") < F.col("ax")) & ~F.col("dx"))  # the later one still lacks a partner
+        pairs = left.join(right, (left["key"] == right["key"]) & (F.col("x") != F.col("y")) & open_ & _may_be_near("cx", "cy", threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = pairs if found is None else found.unionByName(pairs)
         if turn == depth - 1:
             break
         hot = busy.where("hot").select("id", *own_group, "key", "probe")
         if hot.isEmpty():
             break
+        hubs = hot.join(texts.select("id", "at"), "id").groupBy("key").agg(F.min(F.struct("at", "id")).alias("h")).select("key", F.col("h.id").alias("a"))
+        star = hot.select("key", F.col("id").alias("b")).join(hubs, "key").where("a <> b").select("a", "b").distinct()
+        star = star if done is None else star.join(done.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
+        star = materialise(compared(star, texts, threshold), "line-stars")
+        stars = star if stars is None else stars.unionByName(star)
+        done = materialise(stars.select(F.col("b").alias("id")).distinct(), "line-done")
         source = texts.withColumn("group", F.lit(0).cast("long")) if turn == 0 else level
         level = source.select("id", *own_group, "line").join(hot, ["id", *own_group]).select("id", F.col("key").alias("group"), _without_segment(F.col("line"), F.col("probe"), threshold).alias("line")).distinct()
         level = materialise(level.withColumn("size", F.length("line")), "line-rest")
-    return found.distinct(), texts
+    return found.distinct(), stars, texts
 
 
-def near_links(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
-    """(id, line) with distinct lines -> (a, b) of all lines within ``threshold`` edits."""
-    lines = lines.select("id", "line", F.length("line").alias("size")) if "size" not in lines.columns else lines.select("id", "line", "size")
-    pairs, texts = candidates(lines, threshold, hot_pairs, depth)
-    pairs = materialise(pairs, "line-pairs")
-    left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("p")), texts.select(F.col("id").alias("b"), F.col("line").alias("q"))
-    both = pairs.join(left, "a").join(right, "b").where(F.abs(F.length("p") - F.length("q")) <= threshold)
+def compared(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose lines are within ``threshold`` edits."""
+    side = lambda end, line, counts: texts.select(F.col("id").alias(end), F.col("line").alias(line), F.col("counts").alias(counts))
+    both = pairs.join(side("a", "p", "cp"), "a").join(side("b", "q", "cq"), "b").where((F.abs(F.length("p") - F.length("q")) <= threshold) & _may_be_near("cp", "cq", threshold))
     swap = F.length("p") < F.length("q")
     longer, shorter = F.when(swap, F.col("q")).otherwise(F.col("p")), F.when(swap, F.col("p")).otherwise(F.col("q"))
     return both.where(within(longer, shorter, threshold)).select("a", "b")
 
 
+def near_links(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
+    """(id, line) with distinct lines, and ``at`` to order them (else the id) -> links (a, b) within ``threshold`` edits.
+
+    Every line that has an earlier line within the threshold is linked with one.
+    """
+    lines = lines if "at" in lines.columns else lines.withColumn("at", F.col("id"))
+    lines = lines.select("id", "line", "at", F.length("line").alias("size")) if "size" not in lines.columns else lines.select("id", "line", "at", "size")
+    pairs, stars, texts = candidates(lines, threshold, hot_pairs, depth)
+    links = compared(materialise(pairs, "line-pairs"), texts, threshold)
+    return links if stars is None else links.unionByName(stars)
+
+
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
     """``df`` with repeated lines taken out of ``text_col``, and ``n_lines`` and ``kept_lines`` after its columns (replaced if there)."""
     if min_chars <= threshold:
@@ -206,7 +229,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     h = lines.select("doc", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "line")
     first = h.groupBy("id", "id2").agg(F.min(F.struct("doc", "n")).alias("at"), F.first("line").alias("line"))
     first = materialise(first.select(F.xxhash64("id", "id2").alias("id"), F.col("at.doc").alias("doc"), F.col("at.n").alias("n"), "line", F.length("line").alias("size")), "line-distinct")
-    links = near_links(first, threshold, hot_pairs, depth)
+    links = near_links(first.withColumn("at", F.struct("doc", "n")), threshold, hot_pairs, depth)
     at = first.select("id", F.struct("doc", "n").alias("at"))
     later = links.join(at.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
     gone = later.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
