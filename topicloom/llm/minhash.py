@@ -210,12 +210,14 @@ def element_sets(df: DataFrame) -> DataFrame:
 
 def overlaps(pairs: DataFrame, sets: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """(a, b) -> (a, b, similarity): the multisets' Jaccard similarity; a frequent ``a`` is dealt out by salt."""
+    few = pairs.count() <= MOST_PAIRS
     often = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("parts"))
+    often = F.broadcast(often) if few else often
     left = sets.join(often, F.col("id") == F.col("a")).select("a", F.col("elements").alias("left"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     # the salt needs each pair's number of parts: joined on small rows, before the sets
     p = pairs.join(often, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "salt")
     # few pairs go to the sets, so that a set is shuffled once a pair, to its hub, and not twice
-    p = F.broadcast(materialise(p, "near-salted")) if pairs.count() <= MOST_PAIRS else p
+    p = F.broadcast(materialise(p, "near-salted")) if few else p
     p = sets.select(F.col("id").alias("b"), F.col("elements").alias("right")).join(p, "b").join(left, ["a", "salt"]).select("a", "b", "left", "right")
 
     def run(batches):
