@@ -21,9 +21,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that came before go; a document of which no character is left goes too, one that was empty stays. n_chars follows the text."""
-    out = lines.dedup_lines(docs.withColumn("_had", F.length(F.coalesce("text", F.lit(""))) > 0))
-    out = out.where(~F.col("_had") | (F.length("text") > 0))
+    """Lines that came before go; a document of which only blank lines are left goes too, one that was blank stays. n_chars follows the text."""
+    written = lambda: F.coalesce("text", F.lit("")).rlike("\\S")
+    out = lines.dedup_lines(docs.withColumn("_had", written()), min_chars=1)
+    out = out.where(~F.col("_had") | written())
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -116,6 +116,32 @@ def test_line_dedup_is_brute_force(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines_are_deduplicated(spark):
+    random.seed(29)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=random.choice([1, 2, 3, 4, 6, 9, 15])))
+    base = [word() for _ in range(60)]
+    rows = [(i, "\n".join(random.choice([random.choice(base), word(), "", " \t"]) for _ in range(8))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for i, t in rows:
+        for n, x in enumerate(t.split("\n")):
+            first.setdefault(x, (i, n))
+    gone = {b for a in first for b in first if 2 < min(len(a), len(b)) and first[a] < first[b] and a.strip() and b.strip() and _edit_distance(a, b) <= 2}
+    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if not x.strip() or (first[x] == (i, n) and x not in gone)) for i, t in rows}
+    for hot in (4096, 1):
+        assert {r.doc_id: r.text for r in lines.dedup_lines(df, min_chars=1, hot_pairs=hot).collect()} == want
+
+
+def test_stage_drops_copies_with_short_lines(spark):
+    import corpus_pipeline
+
+    text = "Les.\n\nA line that is longer than twenty characters.\nAnd ornd."
+    rows = [(1, text), (2, text), (3, ""), (4, None), (5, " \n"), (6, "Les.\n \nsome other words")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got.keys() == {1, 3, 4, 5, 6} and got[1] == (text, len(text)) and got[6][0] == " \nsome other words"
+
+
 def _shingles(t):
     w = (t or "").lower().split()
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()

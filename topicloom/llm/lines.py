@@ -18,8 +18,10 @@ A key that many lines share is not expanded: its lines, without the shared
 segment, are partitioned again, which keeps every pair within the threshold,
 down to ``depth`` levels.
 
-Defined results: lines of fewer than ``min_chars`` characters always stay, as
-they recur in unrelated texts; null text counts as empty; rows of equal id are
+Defined results: blank lines (white space only) always stay, and so do lines of
+fewer than ``min_chars`` characters; with ``min_chars=1`` no other line is
+exempt. Lines no longer than the threshold, which any other such line is
+within, go as exact repeats only. Null text counts as empty; rows of equal id are
 one document; a null id is replaced by a negative hash of the text; documents
 keep their other columns; a text whose lines all go becomes empty; an empty
 table gives no rows. A removed line does not shield others: a line goes if any
@@ -219,17 +221,21 @@ def near_links(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HO
     return links if stars is None else links.unionByName(stars)
 
 
+def exempt(line: Column, min_chars: int) -> Column:
+    """Whether a line always stays: blank, or of fewer than ``min_chars`` characters."""
+    return (F.length(line) < min_chars) | ~line.rlike("\\S")
+
+
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
     """``df`` with repeated lines taken out of ``text_col``, and ``n_lines`` and ``kept_lines`` after its columns (replaced if there)."""
-    if min_chars <= threshold:
-        raise ValueError("min_chars must exceed threshold")
     lines = df.select(identity(id_col, text_col).alias("doc"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("n", "line"))
-    lines = lines.where(F.length("line") >= min_chars)
+    lines = lines.where(~exempt(F.col("line"), min_chars))
     # equal lines: by 128 bits of hash; the text itself is the first's
     h = lines.select("doc", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "line")
     first = h.groupBy("id", "id2").agg(F.min(F.struct("doc", "n")).alias("at"), F.first("line").alias("line"))
     first = materialise(first.select(F.xxhash64("id", "id2").alias("id"), F.col("at.doc").alias("doc"), F.col("at.n").alias("n"), "line", F.length("line").alias("size")), "line-distinct")
-    links = near_links(first.withColumn("at", F.struct("doc", "n")), threshold, hot_pairs, depth)
+    longer = first.where(F.col("size") > threshold).withColumn("at", F.struct("doc", "n"))
+    links = near_links(longer, threshold, hot_pairs, depth)
     at = first.select("id", F.struct("doc", "n").alias("at"))
     later = links.join(at.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
     gone = later.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
@@ -238,7 +244,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     kept = kept.select(F.col("doc").alias("_doc"), flags.alias("_flags"))
     out = df.withColumn("_id", identity(id_col, text_col)).join(kept, F.col("_id") == F.col("_doc"), "left")
     parts = F.split(F.coalesce(text_col, F.lit("")), "\n")
-    stay = F.filter(parts, lambda x, i: (F.length(x) < min_chars) | F.coalesce(F.get("_flags", i), F.lit(False)))
+    stay = F.filter(parts, lambda x, i: exempt(x, min_chars) | F.coalesce(F.get("_flags", i), F.lit(False)))
     out = out.withColumn("_stay", stay)
     columns = [c for c in df.columns if c not in ("n_lines", "kept_lines")]
     new = {text_col: F.array_join("_stay", "\n").alias(text_col)}

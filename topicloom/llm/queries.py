@@ -26,7 +26,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
     return out.select("doc_id", "n_lines", "kept_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
