@@ -230,6 +230,22 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_fills_until_nothing_fits(spark):
+    for seed, blocks in ((1, 4096), (2, 4096), (3, 7), (4, 1)):
+        random.seed(seed)
+        rows = [(i, " ".join(["w"] * random.choice([3, 20, 100])), random.choice(["x", "y", "z", None])) for i in range(300)]
+        rows += [(900 + i, " ".join(["w"] * n), s) for i, (n, s) in enumerate([(20_000, "x"), (9_000, "y"), (700, "y"), (5_000, "z")])]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), blocks=blocks).toPandas()
+        source = {r[0]: r[2] for r in rows}
+        got["source"], got["n"] = [str(source[i]) for i in got["doc_id"]], got["draws"].map(len)
+        for _, part in got.groupby("source"):
+            left = part["target"].iloc[0] - (part["size"] * part["n"]).sum()
+            whole = int(part["target"].iloc[0] // part["source_size"].iloc[0])
+            free = part[part["n"] == whole]["size"]
+            assert part["n"].isin([whole, whole + 1]).all() and left >= -1e-6
+            assert free.empty or left < free.min()
+
+
 def test_quality_ranks_and_survives(spark):
     random.seed(19)
     good = lambda: " ".join(random.choices("the cat sat on a mat and then went home again".split(), k=40)).capitalize() + "."

@@ -7,10 +7,11 @@ into one of ``blocks`` classes. Steps, all in DataFrame operations:
    source gets its weight's share of ``ratio`` times all words, stops at
    ``cap`` times its own words, and the excess goes to the others by weight.
 2. quotas: a source is drawn whole as often as its target allows; of the
-   rest, blocks in hashed order while they fit, then documents of the next
-   block while they fit, then the largest single documents that still fit.
-   So a source misses its target by less than its smallest undrawn document
-   in practice, and never exceeds it.
+   rest, each block in hashed order that still fits, then documents of the
+   first block that does not, in key order, while they fit, then single
+   documents from the largest to the smallest as long as any fits. So a source
+   misses its target by less than its smallest undrawn document, and never
+   exceeds it.
 3. the splitting tree: the sources' quotas of blocks are halved level by
    level among ``shards`` output shards (a power of two); at each node the left half's counts
    are one draw of the multivariate hypergeometric distribution, taken source
@@ -19,7 +20,9 @@ into one of ``blocks`` classes. Steps, all in DataFrame operations:
    disjoint; a draw's ``position`` orders it within its shard.
 
 Block tables have at most sources x ``blocks`` rows whatever the input. No
-window spans more than one source's blocks or one block's documents.
+window spans more than one source's blocks or one block's documents; the folds
+go over one source's blocks, or over the different sizes of its documents that
+fit into what is left.
 
 Defined results: null text has size 0; null source is a source of its own,
 last in order; documents of size 0 are drawn with their block like others
@@ -39,7 +42,6 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 RATIO, CAP = 1.5, 2.0
 BLOCKS, SHARDS, SEED = 4096, 16, 17
-FILL_ROUNDS = 3
 
 
 def words(column: str) -> Column:
@@ -107,6 +109,19 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
     return leaves.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)))
 
 
+def fill(queue: str, gap: Column, what: str) -> Column:
+    """An array of (..., all, n) in order -> (gap, taken): of each entry's ``n`` times ``all`` words as many as still fit,
+    later entries too where one does not; ``taken`` names the entries by ``what``, with their numbers."""
+    none = F.array().cast("array<struct<what: bigint, n: bigint>>")
+
+    def step(s, x):
+        n = F.when(x["all"] > 0, F.least(x.n, F.floor(s.gap / x["all"]))).when(s.gap >= 0, x.n).otherwise(F.lit(0)).cast("long")
+        more = lambda m: F.struct((s.gap - m * x["all"]).cast("double").alias("gap"), F.concat(s.taken, F.array(F.struct(x[what].cast("long").alias("what"), m.alias("n")))).alias("taken"))
+        return F.transform(F.array(n), lambda m: F.when(m > 0, more(m)).otherwise(s))[0]
+
+    return F.aggregate(queue, F.struct(gap.cast("double").alias("gap"), none.alias("taken")), step)
+
+
 def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, ratio: float = RATIO, cap: float = CAP, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per document: ``key`` (row_key of id, text and source), its id, ``size``, ``source_size``, ``target``, ``rows`` (equal rows) and ``draws``, an array of (copy, shard, position)."""
     key = row_key(seed, id_col, text_col, source_col)
@@ -123,28 +138,35 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
         return t.join(F.broadcast(g) if _few(goal) else g, t["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
 
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 102), "source", "block"), "block")
     b = with_goal(per_block, "source_size", "target").withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    b = b.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("fits", (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0))
+    queue = b.groupBy("source", "rest").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 102), "source", "block").alias("h"), "block", F.col("words").alias("all"), F.lit(1).cast("long").alias("n")))).alias("q"))
+    filled = materialise(queue.select("source", fill("q", F.when(F.col("rest") > 0, F.col("rest")).otherwise(F.lit(-1.0)), "block").alias("f")), "mix-filled")
+    fits = filled.select(F.col("source").alias("_s"), F.explode("f.taken").alias("t")).select("_s", F.col("t.what").alias("_b"), F.lit(True).alias("fits"))
+    b = b.join(fits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left").drop("_s", "_b").withColumn("fits", F.coalesce("fits", F.lit(False)))
     b = materialise(b, "mix-order")
     # what is left for single documents, and the block from which they come first
-    edge = b.groupBy("source").agg(
-        (F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("words"))), F.lit(0))).alias("gap"),
-        F.min_by(F.when(~F.col("fits"), F.col("block")), F.when(~F.col("fits"), F.col("upto"))).alias("edge"),
-    )
+    gaps = filled.select(F.col("source").alias("_s"), F.col("f.gap").alias("gap")).where("gap >= 1")
     free = units.join(b.where(~F.col("fits")).select(F.col("source").alias("_s"), F.col("block").alias("_b")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).select("source", "block", "key", "all").where("all > 0")
-    e = edge.select(F.col("source").alias("_s"), "gap", "edge")
-    first = free.join(e, free["source"].eqNullSafe(e["_s"]) & (free["block"] == e["edge"])).drop("_s")
+    free = free.join(F.broadcast(gaps) if _few(goal) else gaps, F.col("source").eqNullSafe(F.col("_s"))).where("all <= gap").drop("_s")
+    free = materialise(free, "mix-free")
+    edge = free.groupBy("source").agg(F.min(F.struct(F.xxhash64(F.lit(seed + 102), "source", "block"), "block")).alias("e")).select(F.col("source").alias("_s"), F.col("e.block").alias("edge"))
+    first = free.join(F.broadcast(edge) if _few(goal) else edge, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("edge"))).drop("_s", "edge")
     within = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    chosen = first.withColumn("upto", F.sum("all").over(within)).where("upto <= gap").select("source", "key", "all")
-    for n in range(FILL_ROUNDS):
-        chosen = materialise(chosen, f"mix-chosen{n}")
-        used = chosen.groupBy("source").agg(F.sum("all").alias("used"))
-        g = edge.join(used, same(edge, used), "left").select(edge["source"].alias("_s"), (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap >= 1")
-        more = free.join(chosen.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_anti").join(F.broadcast(g) if _few(goal) else g, free["source"].eqNullSafe(g["_s"])).where(F.col("all") <= F.col("gap"))
-        best = more.groupBy("source").agg(F.max(F.struct("all", "key")).alias("m")).select("source", "m.key", "m.all")
-        chosen = chosen.unionByName(best)
-    chosen = materialise(chosen, "mix-chosen")
+    chosen = materialise(first.withColumn("upto", F.sum("all").over(within)).where("upto <= gap").select("source", "key", "all"), "mix-chosen")
+    # what is left then goes to documents by falling size: counts by size, then those places in a size's order of blocks and keys
+    used = chosen.groupBy("source").agg(F.sum("all").alias("used")).select(F.col("source").alias("_s"), "used")
+    more = free.join(F.broadcast(used) if _few(goal) else used, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("gap", F.col("gap") - F.coalesce("used", F.lit(0))).drop("_s", "used").where("all <= gap")
+    more = materialise(more.join(chosen.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_anti"), "mix-more")
+    counts = more.groupBy("source", "gap", "all", "block").agg(F.count(F.lit(1)).alias("n"))
+    by_size = counts.groupBy("source", "gap", "all").agg(F.sum("n").alias("n"))
+    queue = by_size.groupBy("source", "gap").agg(F.array_sort(F.collect_list(F.struct((-F.col("all")).alias("h"), "all", "n"))).alias("q"))
+    taken = queue.select(F.col("source").alias("_s"), F.explode(fill("q", F.col("gap"), "all").taken).alias("t")).select("_s", F.col("t.what").alias("_a"), F.col("t.n").alias("take"))
+    upto = F.sum("n").over(Window.partitionBy("source", "all").orderBy("block"))
+    spots = counts.withColumn("before", upto - F.col("n")).join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("all") == F.col("_a"))).where("before < take")
+    spots = spots.select(F.col("source").alias("_s"), F.col("all").alias("_a"), F.col("block").alias("_b"), (F.col("take") - F.col("before")).alias("take"))
+    place = F.row_number().over(Window.partitionBy("source", "all", "block").orderBy("key"))
+    rest = more.join(spots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("all") == F.col("_a")) & (F.col("block") == F.col("_b"))).withColumn("place", place).where("place <= take").select("source", "key", "all")
+    chosen = materialise(chosen.unionByName(rest), "mix-chosen")
     # draws of blocks: every whole pass, the rest's blocks, and the chosen documents as one block more (-1)
     passes = b.select("source", "block", F.explode(F.concat(F.when(F.col("whole") > 0, F.sequence(F.lit(1).cast("long"), F.col("whole"))).otherwise(F.array().cast("array<bigint>")), F.when(F.col("fits"), F.array(F.col("whole") + 1)).otherwise(F.array().cast("array<bigint>")))).alias("copy"))
     extra = chosen.groupBy("source").count().select("source", F.lit(-1).alias("block"))
