@@ -52,3 +52,16 @@ def test_ann_recall(spark):
         assert all(abs(s[i] - v) < 1e-9 for _, i, v in got[q])
         hits, total = hits + len(set(top) & set(found)), total + 20
     assert hits / total >= 0.9 and 1500_000 not in got
+
+
+def test_ann_goes_on_until_k_rows(spark):
+    is_query = lambda i: i % 2 == 0
+    few = [(i, rng.normal(size=8).tolist()) for i in range(18)]
+    hot = [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(400)] + [(400, [-9.0, 1.0, 0.0, 0.0]), (401, [-9.0, 0.0, 1.0, 0.0]), (402, [-9.0, 0.0, 0.0, 1.0])]
+    for rows, want in ((few, 17), (hot, 20)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.search(df, is_query).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert got.keys() == {i for i, _ in rows if i % 2 == 0}
+        assert all(len(v) == want and q not in v for q, v in got.items())

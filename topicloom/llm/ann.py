@@ -13,8 +13,10 @@ tasks.
 
 Defined results: rows whose id or vector is null, or whose vector is zero or
 holds a null or non-finite component, take no part; shorter vectors count as
-padded with zeros; a query never finds its own id; fewer candidates than
-``k`` are all returned if their lists are probed; no rows give no rows.
+padded with zeros; a query never finds its own id; where the probed lists hold
+fewer than ``k`` other rows, a query goes on along its order of lists until
+they hold ``k`` or all lists are read, so that fewer candidates than ``k`` are
+all returned; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -104,6 +106,12 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
 
     indexed = materialise(rows.mapInArrow(index, "id long, list int, far double, codes binary, v binary"), "ivf-rows")
     sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    held = np.zeros(len(centroids), np.int64)
+    for r in indexed.groupBy("list").count().collect():  # at most 1024 numbers
+        held[r["list"]] = r["count"]
+    # rows of a query's own id are no candidates of it
+    asking = indexed.where(is_query(F.col("id"))).groupBy("id", "list").agg(F.count(F.lit(1)).alias("n"))
+    asking = asking.groupBy("id").agg(F.collect_list(F.struct("list", "n")).alias("own"))
 
     def probes(batches):
         import pyarrow as pa
@@ -111,11 +119,18 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
         c, _ = model.value
         for batch in batches:
             x = matrix(batch.column(1), d)
-            best = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probe].astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * best.shape[1]), pa.array(best.reshape(-1)))
+            order = np.argsort(-(x @ c.T), axis=1, kind="stable").astype(np.int32)
+            others = np.tile(held, (len(x), 1))
+            for i, own in enumerate(batch.column(2).to_pylist()):
+                for o in own:
+                    others[i, o["list"]] -= o["n"]
+            upto = np.cumsum(np.take_along_axis(others, order, axis=1), axis=1)
+            n = np.clip((upto < k).sum(axis=1) + 1, probe, len(c))
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(order[np.arange(len(c)) < n[:, None]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["query", "q", "lists"])
 
-    asked = indexed.where(is_query(F.col("id"))).select("id", "v").mapInArrow(probes, "query long, q binary, lists array<int>")
+    asked = indexed.where(is_query(F.col("id"))).select("id", "v").join(asking, "id").mapInArrow(probes, "query long, q binary, lists array<int>")
     asked = materialise(asked.select("query", "q", F.explode("lists").alias("list")), "ivf-probes")
     chunks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     # a task is a block of a list and a chunk of its queries; either side is dealt out to the other's parts
