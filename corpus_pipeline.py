@@ -29,11 +29,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the least id stays."""
+    """Of each class of near duplicates the document of the least id stays, in one row; other texts of the same id are no copies."""
     classes = minhash.near_duplicates(docs.select("doc_id", "text"))
     keep = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    ident = identity("doc_id", "text")
-    out = docs.withColumn("_ident", ident).join(keep, F.col("_ident") == F.col("_keep"), "left_semi")
+    rows = docs.withColumn("_ident", identity("doc_id", "text"))
+    if not rows.groupBy("_ident").count().where("count > 1").isEmpty():  # copies fall together before they are dealt out
+        text = F.coalesce("text", F.lit(""))
+        rows = rows.groupBy("_ident", text.alias("_text")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_ident", "_row.*")
+    out = rows.join(keep, F.col("_ident") == F.col("_keep"), "left_semi")
     return out.select(*docs.columns)
 
 

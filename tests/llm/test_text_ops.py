@@ -182,6 +182,15 @@ def test_near_duplicates_are_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_copies(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a text of its own", "y"), *[(2, "one that is repeated", "x")] * 5, *[(None, "a text without id", s) for s in "zxyxx"], (None, "another without id", "x"), (None, None, "x"), (None, "", "y"), (3, "one that is repeated", "x"), (4, "a first text of this id", "x"), (4, "and quite another one", "x")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, source string, n_chars int")
+    got = Counter((r.doc_id, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == Counter([(1, rows[0][1]), (2, rows[1][1]), (None, "a text without id"), (None, "another without id"), (None, ""), (4, rows[-2][1]), (4, rows[-1][1])])
+
+
 def test_registers_estimate_weighted_jaccard():
     import numpy as np
 
