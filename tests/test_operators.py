@@ -111,6 +111,14 @@ def test_components_and_leiden(spark):
     assert none.where("item_id <> cluster_id").count() == 0
 
 
+def test_leiden_joins_across_parts_at_every_size(spark):
+    n = 120  # a ring: label propagation leaves many short runs, whose ends must still be able to join
+    nodes = spark.range(n).withColumnRenamed("id", "item_id")
+    edges = _frame(spark, [(i, (i + 1) % n, 1.0) for i in range(n)], "src long, dst long, weight double")
+    quality = lambda limit: community.modularity(edges, community.leiden(nodes, edges, 1.0, local_edges=limit)).first().modularity
+    assert quality(60) >= 0.97 * quality(2_000_000)
+
+
 def test_knn_dense_blocks_agree(spark):
     import numpy as np
 
