@@ -132,6 +132,21 @@ def test_short_lines_are_deduplicated(spark):
         assert {r.doc_id: r.text for r in lines.dedup_lines(df, min_chars=1, hot_pairs=hot).collect()} == want
 
 
+def test_near_links_are_all_links(spark):
+    from pyspark.sql import functions as F
+
+    random.seed(31)
+    base = "".join(random.choices("abcdefgh", k=30))
+    texts = sorted({base} | {base[:i] + random.choice("xyz") + base[i + random.randint(0, 1) :] for i in range(30) for _ in range(2)})
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and _edit_distance(a, b) <= 2}
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    for hot in (4096, 1):
+        assert {tuple(r) for r in lines.near_links(df, hot_pairs=hot).select(*pair).collect()} == want
+    some = {tuple(r) for r in lines.near_links(df, hot_pairs=1, one_each=True).select(*pair).collect()}
+    assert some <= want and {j for _, j in some} == {j for _, j in want}
+
+
 def test_stage_drops_copies_with_short_lines(spark):
     import corpus_pipeline
 

@@ -153,13 +153,13 @@ def _may_be_near(a: str, b: str, threshold: int) -> Column:
     return sum(off[1:], off[0]) <= 2 * threshold
 
 
-def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH, one_each: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """(id, line, size, at) with distinct lines -> distinct pairs (a, b) to compare, links (a, b) found already, and the lines that share a key.
 
-    ``at`` orders the lines. Where many lines share a key, the first of them is
-    compared with all others at once; a line within the threshold of it has an
-    earlier partner, so later levels look no further for partners of that line,
-    but still offer it to others.
+    ``at`` orders the lines. With ``one_each``, where many lines share a key, the
+    first of them is compared with all others at once; a line within the
+    threshold of it has an earlier partner, so later levels look no further for
+    partners of that line, but still offer it to others.
     """
     own = [n for n, p in enumerate(_probes(threshold)) if p[0] == 0 and p[2] == 0]
     level = lines.select("id", F.lit(0).cast("long").alias("group"), "line", "size")
@@ -188,12 +188,13 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HO
         hot = busy.where("hot").select("id", *own_group, "key", "probe")
         if hot.isEmpty():
             break
-        hubs = hot.join(texts.select("id", "at"), "id").groupBy("key").agg(F.min(F.struct("at", "id")).alias("h")).select("key", F.col("h.id").alias("a"))
-        star = hot.select("key", F.col("id").alias("b")).join(hubs, "key").where("a <> b").select("a", "b").distinct()
-        star = star if done is None else star.join(done.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
-        star = materialise(compared(star, texts, threshold), "line-stars")
-        stars = star if stars is None else stars.unionByName(star)
-        done = materialise(stars.select(F.col("b").alias("id")).distinct(), "line-done")
+        if one_each:
+            hubs = hot.join(texts.select("id", "at"), "id").groupBy("key").agg(F.min(F.struct("at", "id")).alias("h")).select("key", F.col("h.id").alias("a"))
+            star = hot.select("key", F.col("id").alias("b")).join(hubs, "key").where("a <> b").select("a", "b").distinct()
+            star = star if done is None else star.join(done.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
+            star = materialise(compared(star, texts, threshold), "line-stars")
+            stars = star if stars is None else stars.unionByName(star)
+            done = materialise(stars.select(F.col("b").alias("id")).distinct(), "line-done")
         source = texts.withColumn("group", F.lit(0).cast("long")) if turn == 0 else level
         level = source.select("id", *own_group, "line").join(hot, ["id", *own_group]).select("id", F.col("key").alias("group"), _without_segment(F.col("line"), F.col("probe"), threshold).alias("line")).distinct()
         level = materialise(level.withColumn("size", F.length("line")), "line-rest")
@@ -209,14 +210,15 @@ def compared(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return both.where(within(longer, shorter, threshold)).select("a", "b")
 
 
-def near_links(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
-    """(id, line) with distinct lines, and ``at`` to order them (else the id) -> links (a, b) within ``threshold`` edits.
+def near_links(lines: DataFrame, threshold: int = THRESHOLD, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH, one_each: bool = False) -> DataFrame:
+    """(id, line) with distinct lines, longer than the threshold, and ``at`` to order them (else the id) -> all links (a, b) within ``threshold`` edits.
 
-    Every line that has an earlier line within the threshold is linked with one.
+    With ``one_each`` links may be left out, but every line that has an earlier
+    line within the threshold is linked with one.
     """
     lines = lines if "at" in lines.columns else lines.withColumn("at", F.col("id"))
     lines = lines.select("id", "line", "at", F.length("line").alias("size")) if "size" not in lines.columns else lines.select("id", "line", "at", "size")
-    pairs, stars, texts = candidates(lines, threshold, hot_pairs, depth)
+    pairs, stars, texts = candidates(lines, threshold, hot_pairs, depth, one_each)
     links = compared(materialise(pairs, "line-pairs"), texts, threshold)
     return links if stars is None else links.unionByName(stars)
 
@@ -235,7 +237,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     first = h.groupBy("id", "id2").agg(F.min(F.struct("doc", "n")).alias("at"), F.first("line").alias("line"))
     first = materialise(first.select(F.xxhash64("id", "id2").alias("id"), F.col("at.doc").alias("doc"), F.col("at.n").alias("n"), "line", F.length("line").alias("size")), "line-distinct")
     longer = first.where(F.col("size") > threshold).withColumn("at", F.struct("doc", "n"))
-    links = near_links(longer, threshold, hot_pairs, depth)
+    links = near_links(longer, threshold, hot_pairs, depth, one_each=True)
     at = first.select("id", F.struct("doc", "n").alias("at"))
     later = links.join(at.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
     gone = later.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
