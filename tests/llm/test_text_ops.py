@@ -197,6 +197,24 @@ def test_near_duplicates_are_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_buckets_whose_hub_fits_none_stay_open(spark):
+    from pyspark.sql import functions as F
+
+    # the small text is the first round's hub of the only bucket, and too small for the two others
+    hub, *large = [r.id for r in spark.range(3).orderBy(F.xxhash64(F.lit(0), "id")).collect()]
+    for seed in range(500):
+        w = [f"s{seed}w{i}" for i in range(100)]
+        words = {hub: w[:70], large[0]: w, large[1]: [*w, "more"]}
+        keys = minhash.band_keys(minhash.signatures([minhash.shingle_hashes(x) for x in words.values()], 1), 1, 1)
+        if len(set(keys.reshape(-1).tolist())) == 1:
+            break
+    else:
+        raise AssertionError("no seed puts the three in one bucket")
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in words.items()], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, bands=1, rows=1).collect()}
+    assert got == {hub: hub, large[0]: min(large), large[1]: min(large)}
+
+
 def test_near_dedup_keeps_one_row_of_copies(spark):
     import corpus_pipeline
 

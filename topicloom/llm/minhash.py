@@ -271,8 +271,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = materialise(pairs, "near-pairs")
         if pairs.isEmpty():
-            if turn < rounds and labels is not None and not m.isEmpty():
-                continue  # this round's hubs had been compared with all; others may not have been
+            if turn < rounds and not m.isEmpty():
+                continue  # this round's hubs had been compared with all, or fit none; others may not have been
             break
         found = materialise(overlaps(pairs.select("a", "b"), sets), "near-overlaps")
         t = pairs.select("x", "y")
