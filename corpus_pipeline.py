@@ -11,39 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import bpe, lines, minhash, mixing, quality
-from topicloom.llm.common import identity, materialise, table
+from topicloom.llm.common import fresh, identity, materialise, quoted, table
 from topicloom.llm.queries import PATTERN, RANKS, _held_out
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7 go; the model learns from ``labels`` as op4 does."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), held_out=_held_out())
-    return quality.score(docs, model, score_col="_score").where(F.col("_score") >= quality.KEEP).select(*docs.columns)
+    score = fresh("score", docs.columns)
+    return quality.score(docs, model, score_col=score).where(F.col(score) >= quality.KEEP).select(*map(quoted, docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that came before go; a document of which only blank lines are left goes too, one that was blank stays. n_chars follows the text."""
-    written = lambda: F.coalesce("text", F.lit("")).rlike("\\S")
-    out = lines.dedup_lines(docs.withColumn("_had", written()), min_chars=1)
-    out = out.where(~F.col("_had") | written())
-    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    had = fresh("had", docs.columns)
+    written = F.coalesce("text", F.lit("")).rlike("\\S")
+    out = lines.dedup_lines(docs.withColumn(had, written), min_chars=1).where(~F.col(had) | written)
+    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document of the least id stays, in one row; other texts of the same id are no copies."""
-    classes = minhash.near_duplicates(docs.select("doc_id", "text"))
-    keep = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.withColumn("_ident", identity("doc_id", "text"))
-    if not rows.groupBy("_ident").count().where("count > 1").isEmpty():  # copies fall together before they are dealt out
-        text = F.coalesce("text", F.lit(""))
-        rows = rows.groupBy("_ident", text.alias("_text")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_ident", "_row.*")
-    out = rows.join(keep, F.col("_ident") == F.col("_keep"), "left_semi")
-    return out.select(*docs.columns)
+    keep = minhash.representatives(docs.select("doc_id", "text"))
+    ident, key = fresh("ident", docs.columns), fresh("text_key", docs.columns)
+    rows = docs.withColumn(ident, identity("doc_id", "text")).withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(keep, (F.col(ident) == keep["id"]) & (F.col(key) == keep["text_key"]), "left_semi")
+    if not rows.groupBy(ident, key).count().where("count > 1").isEmpty():  # equal rows fall together
+        rows = rows.groupBy(ident, key).agg(F.min(F.struct(*[F.col(quoted(c)) for c in docs.columns])).alias("row")).select("row.*")
+    return rows.select(*[quoted(c) for c in docs.columns])
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix draws it, 0 to 2 times."""
     mixed = materialise(mixing.mix(docs.select("doc_id", "text", "source")), "mix")
-    return mixing.drawn_rows(docs, mixed).select(*docs.columns)
+    return mixing.drawn_rows(docs, mixed).select(*map(quoted, docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

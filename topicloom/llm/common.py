@@ -39,18 +39,30 @@ def materialise(df: DataFrame, name: str, *, partition_by: str | None = None) ->
     w = df.write.option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read any more."""
+    for df in written:
+        _delete(session(df), df.written_at)
+        _written.remove((session(df), df.written_at))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _drop_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session is gone: the cluster's own cleaning applies
             if path.startswith("file:"):
                 shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
@@ -60,6 +72,19 @@ def _drop_written() -> None:
 atexit.register(_drop_written)
 
 
+def quoted(column: str) -> str:
+    """A column's name as a reference, whatever characters it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def fresh(stem: str, taken: list[str]) -> str:
+    """A name that no column of ``taken`` has."""
+    name, held = "_" + stem, {c.lower() for c in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,13 +18,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
     e = materialise(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "cc-links")
     labels = materialise(e.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select(F.col("x").alias("node"), "label"), "cc-labels")
+    old = labels
     while True:
         near = e.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("low"))
         up = labels.select(F.col("node").alias("n"), F.col("label").alias("up"))
         step = labels.join(near, F.col("node") == F.col("x"), "left").join(up, F.col("label") == F.col("n"), "left")
         new = materialise(step.select("node", F.col("label").alias("was"), F.least("label", F.coalesce("low", "label"), F.coalesce("up", "label")).alias("label")), "cc-labels")
-        labels = new.select("node", "label")
+        discard(old)
+        old, labels = new, new.select("node", "label")
         if new.where("label <> was").isEmpty():
+            discard(e)
             return labels
 
 
