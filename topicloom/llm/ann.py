@@ -1,22 +1,25 @@
-"""Approximate nearest neighbours: an inverted file of product-quantised residuals with exact reranking.
+"""Approximate nearest neighbours: an inverted file with product-quantised residuals and exact reranking.
 
 Fit: k-means centroids, and one codebook per slice of the residuals brought to
 length 1, so that tight groups are told apart as finely as loose ones, on the
 first ``sample`` rows by hash; both are a few hundred kB and go to every task.
 Index: every row gets its nearest centroid's list, its residual's length and codes.
 Search: a query probes the lists of the largest inner product with their
-centroids; in a list, a table of inner products per slice and code gives each
-row's approximate score, and the best ``rerank`` rows of each list are scored
-exactly on the original vectors. A list is cut into blocks of ``block`` rows
-and its queries into chunks, so a list that holds a third of all rows is many
-tasks.
+centroids; a table of inner products per slice and code gives their rows'
+approximate scores, and the best ``rerank`` rows of all probed lists together
+are scored exactly on the original vectors.
+
+The index is cut by hash into shards of ``BLOCK`` rows, each with its part of
+every list, and queries into chunks; a task is a shard and a chunk, so a list
+that holds a third of all rows is spread over all tasks. A shard reranks its
+share of ``rerank`` and a margin of six standard deviations of that share.
 
 Defined results: rows whose id or vector is null, or whose vector is zero or
 holds a null or non-finite component, take no part; shorter vectors count as
 padded with zeros; a query never finds its own id; where the probed lists hold
 fewer than ``k`` other rows, a query goes on along its order of lists until
 they hold ``k`` or all lists are read, so that fewer candidates than ``k`` are
-all returned; no rows give no rows.
+all returned; no rows give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import materialise, session, ship_code
 from .vectors import as_bytes, matrix, padded, usable, width
 
-SAMPLE, SLICE, CODES = 16_384, 4, 256
-PROBED, RERANK = 0.75, 60
-BLOCK, CHUNK, SEED = 8192, 1024, 41
+SAMPLE, SLICE, CODES = 16_384, 2, 256
+PROBED, RERANK = 0.65, 120
+BLOCK, CHUNK, SEED = 16_384, 1024, 41
 
 
 def kmeans(x, k: int, rng, rounds: int = 12):
@@ -105,7 +108,6 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), pa.array(far), pa.array(as_bytes(codes), pa.binary()), pa.array(as_bytes(x), pa.binary())], names=["id", "list", "far", "codes", "v"])
 
     indexed = materialise(rows.mapInArrow(index, "id long, list int, far double, codes binary, v binary"), "ivf-rows")
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     held = np.zeros(len(centroids), np.int64)
     for r in indexed.groupBy("list").count().collect():  # at most 1024 numbers
         held[r["list"]] = r["count"]
@@ -126,17 +128,17 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
                     others[i, o["list"]] -= o["n"]
             upto = np.cumsum(np.take_along_axis(others, order, axis=1), axis=1)
             n = np.clip((upto < k).sum(axis=1) + 1, probe, len(c))
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(order[np.arange(len(c)) < n[:, None]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["query", "q", "lists"])
-
-    asked = indexed.where(is_query(F.col("id"))).select("id", "v").join(asking, "id").mapInArrow(probes, "query long, q binary, lists array<int>")
-    asked = materialise(asked.select("query", "q", F.explode("lists").alias("list")), "ivf-probes")
-    chunks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    # a task is a block of a list and a chunk of its queries; either side is dealt out to the other's parts
-    plan = F.broadcast(sizes.join(chunks, "list"))  # at most 1024 lists
-    left = indexed.join(plan, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "far", "codes", "v")
-    right = asked.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk"), "query", "q")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32())], names=["query", "q", "lists"])
+
+    asked = indexed.where(is_query(F.col("id"))).select("id", "v").join(asking, "id").mapInArrow(probes, "query long, q binary, lists int")
+    asked = materialise(asked, "ivf-probes")
+    shards, chunks = math.ceil(total / BLOCK), max(1, math.ceil(asked.count() / CHUNK))
+    # a shard is a random part of the rows: its share of the reranked ones, and a margin
+    take = max(k + 1, math.ceil(rerank / shards + 6 * math.sqrt(rerank / shards))) if shards > 1 else max(k + 1, rerank)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = indexed.select(dealt("id", shards).alias("shard"), every(chunks).alias("chunk"), "list", "id", "far", "codes", "v")
+    right = asked.select(every(shards).alias("shard"), dealt("query", chunks).alias("chunk"), "query", "q", "lists")
 
     def rank(a, b):
         import pyarrow as pa
@@ -144,32 +146,38 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
         out_q, out_i, out_s = [], [], []
         if len(a) and len(b):
             c, books_ = model.value
-            a = a.sort_by("id")  # equal approximations then go to the smaller ids
-            ids, codes = np.asarray(a["id"]), matrix(a["codes"], len(books_), "u1")
-            v, q, names = matrix(a["v"], d), matrix(b["q"], d), np.asarray(b["query"])
-            base, far = c[a["list"][0].as_py()], np.asarray(a["far"])
-            take = min(len(ids), rerank + k)
-            for s in range(0, len(q), 64):
-                part = q[s : s + 64]
-                approx = np.zeros((len(part), len(ids)))
-                for m, book in enumerate(books_):  # asymmetric: the query's slice is exact
-                    approx += (part[:, m * SLICE : (m + 1) * SLICE] @ book.T)[:, codes[:, m]]
-                approx = approx * far + (part @ base)[:, None]
+            a = a.sort_by([("list", "ascending"), ("id", "ascending")])  # equal approximations then go to the smaller ids
+            ids, at_list, codes = np.asarray(a["id"]), np.asarray(a["list"]), matrix(a["codes"], len(books_), "u1")
+            v, q, names, probed_ = matrix(a["v"], d), matrix(b["q"], d), np.asarray(b["query"]), np.asarray(b["lists"])
+            far, ends = np.asarray(a["far"]).astype("f4"), np.searchsorted(at_list, np.arange(len(c) + 1))
+            for s in range(0, len(q), 128):
+                part = q[s : s + 128]
+                base = part @ c.T
+                rank_ = np.argsort(np.argsort(-base, axis=1, kind="stable"), axis=1)
+                approx = np.full((len(part), len(ids)), -np.inf, "f4")
+                tables = [(part[:, m * SLICE : (m + 1) * SLICE] @ book.T).astype("f4") for m, book in enumerate(books_)]  # asymmetric: the query's slice is exact
+                for j in np.flatnonzero(ends[1:] > ends[:-1]):
+                    who, rows_ = np.flatnonzero(rank_[:, j] < probed_[s : s + 128]), slice(ends[j], ends[j + 1])
+                    if len(who):
+                        got = np.zeros((len(who), ends[j + 1] - ends[j]), "f4")
+                        for m, of in enumerate(tables):
+                            got += of[who][:, codes[rows_, m]]
+                        approx[who, rows_] = got * far[rows_] + base[who, j, None].astype("f4")
                 for j in range(len(part)):
-                    if take < len(ids):
-                        cut = np.partition(approx[j], len(ids) - take)[len(ids) - take]
-                        over = np.flatnonzero(approx[j] > cut)
-                        at = np.concatenate([over, np.flatnonzero(approx[j] == cut)[: take - len(over)]])
-                    else:
-                        at = np.arange(len(ids))
-                    at = at[ids[at] != names[s + j]]
+                    own = approx[j]
+                    own[ids == names[s + j]] = -np.inf
+                    at = np.flatnonzero(own > -np.inf)
+                    if take < len(at):
+                        cut = np.partition(own, len(ids) - take)[len(ids) - take]
+                        over = np.flatnonzero(own > cut)
+                        at = np.concatenate([over, np.flatnonzero(own == cut)[: take - len(over)]])
                     exact = (v[at] * part[j]).sum(axis=1)
                     keep = np.lexsort((ids[at], -exact))[:k]
                     out_q.append(np.full(len(keep), names[s + j])), out_i.append(ids[at][keep]), out_s.append(exact[keep])
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
         return pa.table({"query_id": cat(out_q, "i8"), "id": cat(out_i, "i8"), "score": cat(out_s, "f8")})
 
-    keys = ("list", "block", "chunk")
+    keys = ("shard", "chunk")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

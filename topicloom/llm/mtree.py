@@ -13,13 +13,15 @@ vector (the parent distances). A search keeps pages in a queue by their least
 possible distance. An entry is skipped without computing its distance when the
 triangle inequality over its parent distance excludes it already.
 
-Every query first searches the tree that holds it, which gives it a bound; with
-that bound it then searches all other trees, in blocks of queries.
+Every query first searches the tree that holds it, which gives it a bound. The
+trees' routing vectors and radii form a directory, in pages of ``DIRECTORY``
+trees; blocks of queries are held against it first, and only where a tree's
+nearest possible point is within a query's bound are its pages sent for.
 
 Defined results: rows whose id or vector is null, or whose vector holds a null
 or non-finite component, take no part; zero vectors do; shorter vectors count
 as padded with zeros; ties go to the smaller id; fewer than k candidates are
-all returned; rows that repeat an id are candidates for others, never for
+all returned; no rows give no rows; other columns are not read; rows that repeat an id are candidates for others, never for
 that id; components so large that a score may pass 2^62 raise an error.
 """
 
@@ -31,10 +33,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, session, ship_code
+from .common import cpu_partitions, materialise, session, ship_code
 from .vectors import matrix, padded, usable, width
 
-PIVOTS, TREE_ROWS, LEAF, FANOUT, CHUNK, SEED = 64, 4096, 256, 16, 256, 53
+PIVOTS, TREE_ROWS, LEAF, FANOUT, CHUNK, DIRECTORY, SEED = 64, 4096, 256, 16, 256, 1024, 53
 
 
 class Page:
@@ -196,25 +198,48 @@ def search(df: DataFrame, every: int, *, id_col: str = "vec_id", vec_col: str =
         ids, v, root, route, route_extra, radius = load(table)
         tree = table["tree"][0].as_py()
         at = np.flatnonzero(ids % every == 0)
-        out = [(tree, None, None, None, None, pickle.dumps((root, route, route_extra, radius)))]
+        out = [(tree, None, None, None, None, pickle.dumps((root, route, route_extra, radius)), np.array([*route, route_extra, radius]).tobytes())]
         for i in at:
             best = Best(k)
             search_tree(root, route, route_extra, radius, v[i], int(ids[i]), norm2, best)
             found = sorted(best.heap, reverse=True)
             bound = found[-1][0] if len(found) == k else None
-            out.append((tree, int(ids[i]), v[i].tobytes(), bound, [{"id": -b, "score": a} for a, b in found], None))
-        kinds = (("tree", pa.int32()), ("query", pa.int64()), ("q", pa.binary()), ("bound", pa.int64()), ("found", pa.list_(pa.struct([("id", pa.int64()), ("score", pa.int64())]))), ("pages", pa.binary()))
+            out.append((tree, int(ids[i]), v[i].tobytes(), bound, [{"id": -b, "score": a} for a, b in found], None, None))
+        kinds = (("tree", pa.int32()), ("query", pa.int64()), ("q", pa.binary()), ("bound", pa.int64()), ("found", pa.list_(pa.struct([("id", pa.int64()), ("score", pa.int64())]))), ("pages", pa.binary()), ("place", pa.binary()))
         return pa.table({name: pa.array([r[j] for r in out], kind) for j, (name, kind) in enumerate(kinds)})
 
-    grown = placed.groupBy("tree").applyInArrow(grow, "tree int, query long, q binary, bound long, found array<struct<id: long, score: long>>, pages binary")
+    grown = placed.groupBy("tree").applyInArrow(grow, "tree int, query long, q binary, bound long, found array<struct<id: long, score: long>>, pages binary, place binary")
     grown = materialise(grown, "mtree-trees")
     asked = grown.where("query is not null")
     trees = grown.where("pages is not null").select("tree", "pages")
-    # blocks of queries against all trees
-    n = asked.count()
-    block = F.pmod(F.xxhash64("query"), F.lit(max(1, math.ceil(n / chunk)))).cast("int")
-    blocks = asked.withColumn("block", block).groupBy("block").agg(F.collect_list(F.struct("query", "q", "bound", F.col("tree").alias("home"))).alias("queries"))
-    blocks = blocks.select("block", "queries", F.explode(F.sequence(F.lit(0), F.lit(max(0, total - 1)))).alias("tree"))
+    # blocks of queries against the directory: which trees may hold something
+    n = max(1, math.ceil(asked.count() / chunk))
+    pages = max(1, math.ceil(total / DIRECTORY))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.pmod(F.xxhash64("query"), F.lit(n)).cast("int").alias("block"), every(pages).alias("page"), "query", "q", "bound", F.col("tree").alias("home"))
+    right = grown.where("pages is not null").select(every(n).alias("block"), F.floor(F.col("tree") / DIRECTORY).cast("int").alias("page"), "tree", "place").toDF("block", "page", "tree", "place")
+
+    def choose(a, b):
+        import pyarrow as pa
+
+        out = []
+        if len(a) and len(b):
+            q, place = matrix(a["q"], d, "i8").astype(float), matrix(b["place"], d + 2)
+            names, home, trees_ = a["query"].to_pylist(), np.asarray(a["home"]), np.asarray(b["tree"])
+            raw, bounds = a["q"].to_pylist(), a["bound"].to_pylist()
+            q2 = (q * q).sum(axis=1)
+            far = np.sqrt(np.maximum(q2[:, None] + (place[:, : d + 1] ** 2).sum(axis=1) - 2 * q @ place[:, :d].T, 0.0))
+            worst = np.array([-np.inf if x is None else x for x in bounds], float)
+            # what search_tree's own slack allows, and as much again for the distances' rounding
+            reach = np.sqrt(np.maximum(0.0, q2 + norm2 - 2.0 * worst)) + 2e-6 * np.sqrt(q2 + norm2) + 2e-6
+            may = (far - place[:, d + 1] <= reach[:, None]) & (home[:, None] != trees_)
+            for j in np.flatnonzero(may.any(axis=0)):
+                out.append((int(trees_[j]), [{"query": names[i], "q": raw[i], "bound": bounds[i]} for i in np.flatnonzero(may[:, j])]))
+        kind = pa.list_(pa.struct([("query", pa.int64()), ("q", pa.binary()), ("bound", pa.int64())]))
+        return pa.table({"tree": pa.array([x for x, _ in out], pa.int32()), "queries": pa.array([x for _, x in out], kind)})
+
+    keys = ("block", "page")
+    blocks = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(choose, "tree int, queries array<struct<query: long, q: binary, bound: long>>")
 
     def visit(batches):
         import pickle
@@ -223,17 +248,16 @@ def search(df: DataFrame, every: int, *, id_col: str = "vec_id", vec_col: str =
 
         for batch in batches:
             out = []
-            for tree, pages, queries in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for pages, queries in zip(batch.column(1), batch.column(2).to_pylist()):
                 root, route, route_extra, radius = pickle.loads(pages.as_buffer())
                 for x in queries:
-                    if x["home"] == tree:
-                        continue
                     best = Best(k, x["bound"])
                     search_tree(root, route, route_extra, radius, np.frombuffer(x["q"], np.int64), x["query"], norm2, best)
                     out += [(x["query"], -b, a) for a, b in best.heap]
             c = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["query_id", "id", "score"])
 
+    blocks = blocks.repartition(cpu_partitions(spark), "tree")  # few bytes, much work: no coalescing to a few tasks
     seen = blocks.join(trees, "tree").select("tree", "pages", "queries").mapInArrow(visit, "query_id long, id long, score long")
     home = asked.select(F.col("query").alias("query_id"), F.explode("found").alias("f")).select("query_id", "f.id", "f.score")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
