@@ -27,7 +27,9 @@ fit into what is left.
 Defined results: null text has size 0; null source is a source of its own,
 last in order; documents of size 0 are drawn with their block like others
 and add nothing; equal rows (id, text and source) are drawn together; an
-empty table gives no rows.
+empty table gives no rows; other columns are not read, and ``drawn_rows`` keeps
+them. The splitting tree folds over all sources in one row a node, so it is meant
+for thousands of sources, not millions.
 """
 
 from __future__ import annotations
@@ -131,11 +133,11 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     units = materialise(units, "mix-units")
     per_block = materialise(units.groupBy("source", "block").agg(F.sum("all").alias("words")), "mix-blocks")
     goal = materialise(targets(per_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ratio, cap), "mix-targets")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    few = _few(goal)
 
     def with_goal(t: DataFrame, *columns: str) -> DataFrame:
         g = goal.select(F.col("source").alias("_s"), *[F.col(c) for c in ("source_size", "target") if c in columns])
-        return t.join(F.broadcast(g) if _few(goal) else g, t["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
+        return t.join(F.broadcast(g) if few else g, t["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
 
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     b = with_goal(per_block, "source_size", "target").withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -147,15 +149,15 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     # what is left for single documents, and the block from which they come first
     gaps = filled.select(F.col("source").alias("_s"), F.col("f.gap").alias("gap")).where("gap >= 1")
     free = units.join(b.where(~F.col("fits")).select(F.col("source").alias("_s"), F.col("block").alias("_b")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).select("source", "block", "key", "all").where("all > 0")
-    free = free.join(F.broadcast(gaps) if _few(goal) else gaps, F.col("source").eqNullSafe(F.col("_s"))).where("all <= gap").drop("_s")
+    free = free.join(F.broadcast(gaps) if few else gaps, F.col("source").eqNullSafe(F.col("_s"))).where("all <= gap").drop("_s")
     free = materialise(free, "mix-free")
     edge = free.groupBy("source").agg(F.min(F.struct(F.xxhash64(F.lit(seed + 102), "source", "block"), "block")).alias("e")).select(F.col("source").alias("_s"), F.col("e.block").alias("edge"))
-    first = free.join(F.broadcast(edge) if _few(goal) else edge, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("edge"))).drop("_s", "edge")
+    first = free.join(F.broadcast(edge) if few else edge, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("edge"))).drop("_s", "edge")
     within = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     chosen = materialise(first.withColumn("upto", F.sum("all").over(within)).where("upto <= gap").select("source", "key", "all"), "mix-chosen")
     # what is left then goes to documents by falling size: counts by size, then those places in a size's order of blocks and keys
     used = chosen.groupBy("source").agg(F.sum("all").alias("used")).select(F.col("source").alias("_s"), "used")
-    more = free.join(F.broadcast(used) if _few(goal) else used, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("gap", F.col("gap") - F.coalesce("used", F.lit(0))).drop("_s", "used").where("all <= gap")
+    more = free.join(F.broadcast(used) if few else used, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("gap", F.col("gap") - F.coalesce("used", F.lit(0))).drop("_s", "used").where("all <= gap")
     more = materialise(more.join(chosen.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_anti"), "mix-more")
     counts = more.groupBy("source", "gap", "all", "block").agg(F.count(F.lit(1)).alias("n"))
     by_size = counts.groupBy("source", "gap", "all").agg(F.sum("n").alias("n"))
@@ -175,33 +177,33 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     drawn = materialise(passes.unionByName(extra).withColumn("rank", F.row_number().over(ranked)), "mix-drawn")
     leaves = split_quotas(drawn.groupBy("source").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
     leaf = leaves.select(F.col("source").alias("_s"), "shard", "first", "quota")
-    placed = drawn.join(F.broadcast(leaf) if _few(goal) else leaf, drawn["source"].eqNullSafe(leaf["_s"]) & (F.col("rank") > F.col("first")) & (F.col("rank") <= F.col("first") + F.col("quota")))
+    placed = drawn.join(F.broadcast(leaf) if few else leaf, drawn["source"].eqNullSafe(leaf["_s"]) & (F.col("rank") > F.col("first")) & (F.col("rank") <= F.col("first") + F.col("quota")))
     placed = materialise(placed.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("in")), "mix-placed")
     p = placed.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "in")
     x = p.where("_b = -1").select(F.col("_s").alias("_t"), F.col("in").alias("also"))
-    picked = chosen.join(F.broadcast(x) if _few(goal) else x, F.col("source").eqNullSafe(F.col("_t"))).select(F.col("key").alias("_k"), "also")
+    picked = chosen.join(F.broadcast(x) if few else x, F.col("source").eqNullSafe(F.col("_t"))).select(F.col("key").alias("_k"), "also")
     out = units.join(p, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left").join(picked, F.col("key") == F.col("_k"), "left").drop("_s", "_b", "_k")
     none = F.array().cast(placed.schema["in"].dataType)
     draws = F.transform(F.concat(F.coalesce("in", none), F.coalesce("also", none)), lambda d: F.struct(d.copy.alias("copy"), d.shard.alias("shard"), F.xxhash64(F.lit(seed + 104), F.col("key"), d.copy).alias("position")))
     return with_goal(out.withColumn("draws", draws), "source_size", "target").select("key", F.col("id").alias(id_col), "size", "source_size", "target", "rows", "draws")
 
 
-#: A table of sources is broadcast only up to so many.
-MOST_SOURCES = 10_000
-_counts: dict[int, bool] = {}
+#: A table of sources is broadcast only up to so many, of so many characters in all.
+MOST_SOURCES, MOST_CHARS = 10_000, 1_000_000
 
 
 def _few(goal: DataFrame) -> bool:
-    """Whether the written table of sources is small enough to broadcast; counted once a table."""
-    k = id(goal)
-    if k not in _counts:
-        _counts.clear()
-        _counts[k] = goal.count() <= MOST_SOURCES
-    return _counts[k]
+    """Whether the written table of sources is small enough to broadcast."""
+    n, chars = goal.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.col("source").cast("string"))), F.lit(0))).first()
+    return n <= MOST_SOURCES and chars <= MOST_CHARS
 
 
 def drawn_rows(df: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """The mix itself: every row of ``df`` once per draw, with ``mix_shard`` and ``mix_position``."""
-    d = mixed.where(F.size("draws") > 0).select(F.col("key").alias("_key"), "draws")
-    rows = df.withColumn("_k", row_key(seed, id_col, text_col, source_col)).join(d, F.col("_k") == F.col("_key"))
-    return rows.select(*df.columns, F.explode("draws").alias("_d")).select(*df.columns, F.col("_d.shard").alias("mix_shard"), F.col("_d.position").alias("mix_position"))
+    """The mix itself: every row of ``df`` once per draw, with ``mix_shard`` and ``mix_position`` (replaced if there)."""
+    d = mixed.where(F.size("draws") > 0).select("key", "draws")
+    names = df.columns
+    rows = df.toDF(*[f"c{i}" for i in range(len(names))])  # no column of ``df`` clashes with those made here
+    at = [f"c{names.index(c)}" for c in (id_col, text_col, source_col)]
+    rows = rows.withColumn("own", row_key(seed, *at)).join(d, F.col("own") == F.col("key")).select(*rows.columns, F.explode("draws").alias("d"))
+    kept = [(f"c{i}", c) for i, c in enumerate(names) if c not in ("mix_shard", "mix_position")]
+    return rows.select(*[F.col(i).alias(c) for i, c in kept], F.col("d.shard").alias("mix_shard"), F.col("d.position").alias("mix_position"))
