@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import session, ship_code
+from .common import map_arrow, quoted, session, ship_code
 
 #: Parts of about so many characters go to the library at once.
 PART_CHARS = 1 << 16
@@ -115,7 +115,7 @@ def _apply(df: DataFrame, new: list[T.StructField], work, held_col: str) -> Data
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in out] + made, names=out + [f.name for f in new])
                 at = end
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return map_arrow(df.select(*map(quoted, kept)), run, schema)
 
 
 def encode_decode(df: DataFrame, rank_path: str, pattern: str, *, text_col: str = "text", ids_col: str | None = "ids", bytes_col: str | None = "decoded") -> DataFrame:

@@ -230,7 +230,11 @@ def exempt(line: Column, min_chars: int) -> Column:
 
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
     """``df`` with repeated lines taken out of ``text_col``, and ``n_lines`` and ``kept_lines`` after its columns (replaced if there)."""
-    lines = df.select(identity(id_col, text_col).alias("doc"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("n", "line"))
+    names = df.columns
+    own = df.toDF(*[f"c{i}" for i in range(len(names))])  # no column of ``df`` clashes with those made here
+    id_at, text_at = (f"c{names.index(c)}" for c in (id_col, text_col))
+    own = own.withColumn("own_id", identity(id_at, text_at))
+    lines = own.select(F.col("own_id").alias("doc"), F.posexplode(F.split(F.coalesce(text_at, F.lit("")), "\n")).alias("n", "line"))
     lines = lines.where(~exempt(F.col("line"), min_chars))
     # equal lines: by 128 bits of hash; the text itself is the first's
     h = lines.select("doc", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "line")
@@ -243,11 +247,10 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     gone = later.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
     kept = first.select("id", "doc", "n").join(gone, "id", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("n")).alias("ns"))
     flags = F.flatten(F.transform("ns", lambda n, i: F.concat(F.array_repeat(F.lit(False), n - F.coalesce(F.get("ns", i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
-    kept = kept.select(F.col("doc").alias("_doc"), flags.alias("_flags"))
-    out = df.withColumn("_id", identity(id_col, text_col)).join(kept, F.col("_id") == F.col("_doc"), "left")
-    parts = F.split(F.coalesce(text_col, F.lit("")), "\n")
-    stay = F.filter(parts, lambda x, i: exempt(x, min_chars) | F.coalesce(F.get("_flags", i), F.lit(False)))
-    out = out.withColumn("_stay", stay)
-    columns = [c for c in df.columns if c not in ("n_lines", "kept_lines")]
-    new = {text_col: F.array_join("_stay", "\n").alias(text_col)}
-    return out.select(*[new.get(c, F.col(c)) for c in columns], F.size(parts).cast("long").alias("n_lines"), F.size("_stay").cast("long").alias("kept_lines"))
+    out = own.join(kept.select("doc", flags.alias("flags")), F.col("own_id") == F.col("doc"), "left")
+    parts = F.split(F.coalesce(text_at, F.lit("")), "\n")
+    stay = F.filter(parts, lambda x, i: exempt(x, min_chars) | F.coalesce(F.get("flags", i), F.lit(False)))
+    out = out.withColumn("stay", stay)
+    kept_columns = [(f"c{i}", c) for i, c in enumerate(names) if c not in ("n_lines", "kept_lines")]
+    text = F.array_join("stay", "\n")
+    return out.select(*[(text if at == text_at else F.col(at)).alias(c) for at, c in kept_columns], F.size(parts).cast("long").alias("n_lines"), F.size("stay").cast("long").alias("kept_lines"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import _SAFE, encode_text, encoder, read_ranks
-from .common import session, ship_code
+from .common import map_arrow, quoted, session, ship_code
 
 #: Pieces have about so many characters, more where no safe boundary is there.
 PIECE = 512
@@ -153,4 +153,4 @@ def count_after_edits(df: DataFrame, rank_path: str, pattern: str, *, text_col:
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(c, pa.string() if i == 4 else pa.int64()) for i, c in enumerate(columns)], names=[*kept, *[f.name for f in new]])
 
-    return df.select(*kept, text_col, *([edits_col] if edits_col else [])).mapInArrow(run, schema)
+    return map_arrow(df.select(*map(quoted, [*kept, text_col, *([edits_col] if edits_col else [])])), run, schema)
