@@ -195,3 +195,55 @@ def test_stream_agrees_with_table(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("w").outputMode("complete").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("w").count() == events.windowed(table).count()
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    import numpy as np
+
+    from topicloom.operators import knn
+
+    rng = np.random.default_rng(6)
+    x = rng.random((60, 12)) * (rng.random((60, 12)) < 0.3)
+    x[:, 0] += 0.2  # a dimension that all share
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, f"d{j}", float(x[i, j])) for i in range(60) for j in range(12) if x[i, j]], "item_id long, dim string, v double")
+    for sigma in (0.3, 0.8):
+        want = {(i, j) for i in range(60) for j in range(60) if i < j and x[i] @ x[j] >= sigma}
+        assert {(r.i, r.j) for r in knn.similar_pairs(v, sigma).collect()} == want
+        plain = {(r.i, r.j, r["rank"]) for r in knn.knn_sparse(v, 5).collect() if r.sim >= sigma}
+        assert {(r.i, r.j, r["rank"]) for r in knn.knn_sparse(v, 5, sigma).collect()} == plain
+
+
+def test_suite_keeps_going(spark):
+    from topicloom.plans import clustering
+
+    truth = spark.createDataFrame([(i, str(i % 2)) for i in range(12)], "item_id long, label string")
+    labels = truth.selectExpr("item_id", "cast(label as long) as cluster_id")
+
+    def broken():
+        raise ValueError("no")
+
+    got = {(r.family, r.run): (r.nmi, r.error) for r in clustering.suite({"a": {"good": lambda: labels, "bad": broken}, "b": {"x": broken}}, truth, skip=("b",)).collect()}
+    assert got == {("a", "good"): (1.0, None), ("a", "bad"): (None, "ValueError: no")}
+
+
+def test_triplets_draw_other_clusters(spark):
+    from topicloom.operators import sampling
+
+    labels = spark.createDataFrame([(i, i % 3) for i in range(90)] + [(100, 7)], "item_id long, cluster_id long")
+    of = {r.item_id: r.cluster_id for r in labels.collect()}
+    rows = sampling.triplets(labels, labels).collect()
+    assert len(rows) == 90 and all(of[r.anchor] == of[r.positive] != of[r.negative] and r.anchor != r.positive for r in rows)
+    assert len({r.negative for r in rows}) > 20
+
+
+def test_shared_folder_is_asked_for(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from topicloom import session
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.shared_dir(far)

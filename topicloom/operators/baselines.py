@@ -41,13 +41,22 @@ def _argmax(v):
 
 
 def nmf(tfidf: DataFrame, k: int, *, iterations: int = 10) -> DataFrame:
-    """Non-negative factors of (item_id, dim, v) by alternating least squares; the strongest is the cluster."""
+    """Non-negative factors of (item_id, dim, v) by alternating least squares; the strongest is the cluster. An item without values isn't in ``tfidf`` and has none."""
     rows = StringIndexer(inputCol="dim", outputCol="d").fit(tfidf).transform(tfidf).select(F.col("item_id"), F.col("d").cast("int"), "v")
-    ids = rows.select("item_id").distinct().withColumn("i", F.row_number().over(Window.orderBy("item_id")))
+    ids = _small_ids(rows.select("item_id").distinct())
     m = ALS(rank=k, maxIter=iterations, nonnegative=True, userCol="i", itemCol="d", ratingCol="v", seed=SEED, regParam=0.01).fit(rows.join(ids, "item_id"))
     return m.userFactors.join(ids, F.col("id") == F.col("i")).select("item_id", _argmax(F.col("features")).alias("cluster_id"))
 
 
+def _small_ids(items: DataFrame, parts: int = 1024) -> DataFrame:
+    """(item_id, i): numbers from 1 without gaps, as the factoriser takes 32-bit ids; counted by hash part, so no task orders all items."""
+    part = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"))
+    n = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # at most ``parts`` rows
+    row = F.row_number().over(Window.partitionBy("part").orderBy("item_id"))
+    return part.withColumn("row", row).join(F.broadcast(before), "part").select("item_id", (F.col("before") + F.col("row")).cast("int").alias("i"))
+
+
 def spectral(edges: DataFrame, k: int, iterations: int = 20) -> DataFrame:
     pic = PowerIterationClustering(k=k, maxIter=iterations, initMode="degree", weightCol="weight")
     return pic.assignClusters(edges.select("src", "dst", "weight")).select(F.col("id").alias("item_id"), F.col("cluster").cast("long").alias("cluster_id"))

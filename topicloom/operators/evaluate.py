@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 D = "double"
@@ -73,8 +73,8 @@ def kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def kappa_bootstrap(pairs: DataFrame, b: int = 1000, seed: int = 42) -> DataFrame:
     """One row (lo, hi): the 95 % interval of kappa over ``b`` resamples of the confusion table; (0, 1) under 10 rows.
 
-    A resample draws each cell's count from the Poisson distribution, which is
-    the bootstrap of rows in the limit and needs no copy of them.
+    A resample of the rows is one multinomial draw over the cells, so only the
+    table of classes x classes is needed, not the rows.
     """
     import numpy as np
 
@@ -125,3 +125,42 @@ def verdict_stats(v: DataFrame) -> DataFrame:
     n = F.count("verdict")
     c = lambda x: F.count_if(F.col("verdict") == x)
     return v.agg(n.alias("n"), c("accept").alias("accepted"), c("borderline").alias("borderline"), c("reject").alias("rejected"), F.round(c("accept") / n, 6).alias("accept_rate"), F.round((c("accept") + c("borderline")) / n, 6).alias("acceptable_rate"))
+
+
+def rejection_by_category(v: DataFrame) -> DataFrame:
+    """(category, n, rejected, rate) of rated rows (category, verdict)."""
+    rated = v.where(F.col("verdict").isin("accept", "borderline", "reject"))
+    rejected = F.count_if(F.col("verdict") == "reject")
+    return rated.groupBy("category").agg(F.count(F.lit(1)).alias("n"), rejected.alias("rejected"), F.round(rejected / F.count(F.lit(1)), 6).alias("rate"))
+
+
+def corrections(v: DataFrame, top: int = 10) -> DataFrame:
+    """(correction, n): what rejected rows (verdict, correction) should be instead, most frequent first."""
+    n = v.where((F.col("verdict") == "reject") & F.col("correction").isNotNull()).groupBy("correction").agg(F.count(F.lit(1)).alias("n"))
+    return n.orderBy(F.desc("n"), "correction").limit(top)
+
+
+def disagreements(pairs: DataFrame, a: str = "a", b: str = "b", top: int = 20) -> DataFrame:
+    """(a, b, n): the most frequent pairs of different labels."""
+    return confusion(pairs.where(F.col(a) != F.col(b)), a, b).orderBy(F.desc("n"), a, b).limit(top)
+
+
+def bias_deltas(scores: DataFrame) -> DataFrame:
+    """(method, type, x, y, delta, ratio) of methods that have both scores."""
+    s = scores.where("x is not null and y is not null")
+    return s.select("method", "type", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round(F.col("x") - F.col("y"), 4).alias("delta"), F.when(F.col("y") > 0, F.round(F.col("x") / F.col("y"), 4)).alias("ratio"))
+
+
+def rank_vectors(scores: DataFrame) -> DataFrame:
+    """(method, rank_x, rank_y): places by falling score; ties: the least name. Methods are a handful."""
+    place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "method")).alias(f"rank_{c}")
+    return scores.select("method", place("x"), place("y"))
+
+
+def head_to_head(scores: DataFrame, method: str) -> DataFrame:
+    """One row (method, rival, gap_x, gap_y, shrinkage_pct): against the best by ``x`` of the other types; the shrinkage is null unless both gaps are positive."""
+    own = scores.where(F.col("method") == method).select(F.col("method"), F.col("type").alias("own"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    rival = scores.join(own.select("own")).where(F.col("type") != F.col("own")).agg(F.min_by(F.struct("method", "x", "y"), F.struct(-F.col("x"), F.col("method"))).alias("r"))
+    gaps = own.join(rival).select("method", F.col("r.method").alias("rival"), (F.col("ox") - F.col("r.x")).alias("gx"), (F.col("oy") - F.col("r.y")).alias("gy"))
+    shrink = F.when((F.col("gx") > 0) & (F.col("gy") > 0), F.round((1 - F.col("gy") / F.col("gx")) * 100, 4))
+    return gaps.select("method", "rival", F.round("gx", 4).alias("gap_x"), F.round("gy", 4).alias("gap_y"), shrink.alias("shrinkage_pct"))

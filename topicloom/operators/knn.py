@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Rows of a block of dense vectors; a task multiplies two blocks.
 BLOCK_ROWS = 4096
 
@@ -16,13 +18,43 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("i", "j", "sim", "rank")
 
 
-def knn_sparse(vectors: DataFrame, k: int = 30) -> DataFrame:
-    """(i, j, sim, rank) of unit long-form vectors; only items that share a dimension meet."""
+def knn_sparse(vectors: DataFrame, k: int = 30, sigma: float | None = None) -> DataFrame:
+    """(i, j, sim, rank) of unit long-form vectors; only items that share a dimension meet. With ``sigma``, neighbours of at least that similarity, found by ``similar_pairs``."""
+    if sigma is not None and sigma > 0:
+        p = similar_pairs(vectors, sigma)
+        return _top(p.unionByName(p.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim")), k)
     a = vectors.select("dim", F.col("item_id").alias("i"), F.col("v").alias("u"))
     b = vectors.select("dim", F.col("item_id").alias("j"), F.col("v").alias("w"))
     return _top(a.join(b, "dim").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("u") * F.col("w")).alias("sim")), k)
 
 
+#: A dimension's items are dealt out by so many.
+DIM_ROWS = 4096
+
+
+def similar_pairs(vectors: DataFrame, sigma: float) -> DataFrame:
+    """(i, j, sim), i < j: all pairs of unit long-form vectors (item_id, dim, v) with a product of at least ``sigma`` > 0.
+
+    Dimensions are ordered from rare to frequent. Where the part of a vector
+    from some dimension on is shorter than ``sigma``, that part alone can't
+    reach it with any unit vector, so the first dimension that two similar
+    items share lies before that point in both: only those prefixes meet.
+    """
+    often = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("df"))
+    rest = Window.partitionBy("item_id").orderBy("df", "dim").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    first = vectors.join(often, "dim").withColumn("rest", F.sum(F.col("v") * F.col("v")).over(rest)).where(F.col("rest") >= sigma * sigma - 1e-9).select("dim", "item_id")
+    first = cut(first, "prefixes")
+    parts = first.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dim", F.ceil(F.col("n") / DIM_ROWS).cast("int").alias("parts"))
+    rows = first.join(parts, "dim")
+    a = rows.select("dim", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int").alias("salt"), F.col("item_id").alias("i"))
+    b = rows.select("dim", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("item_id").alias("j"))
+    pairs = a.join(b, ["dim", "salt"]).where("i < j").select("i", "j").distinct()
+    whole = cut(vectors.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m")), "maps")
+    pairs = pairs.join(whole.select(F.col("item_id").alias("i"), F.col("m").alias("x")), "i").join(whole.select(F.col("item_id").alias("j"), F.col("m").alias("y")), "j")
+    dot = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("y", e["key"]), F.lit(0.0)))
+    return pairs.select("i", "j", dot.alias("sim")).where(F.col("sim") >= sigma)
+
+
 def knn_dense(dense: DataFrame, k: int = 30, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(i, j, sim, rank) of (item_id, v) with unit vectors: every pair of blocks is one matrix product in one task.
 

@@ -47,3 +47,12 @@ def slim(profile: DataFrame, clusters: int = 30, concepts: int = 10, prompts: in
 def size_summary(labels: DataFrame) -> DataFrame:
     size = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     return size.agg(F.round(F.avg("size"), 6).alias("mean_size"), F.percentile("size", 0.5).alias("median_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"))
+
+
+def summary(labels: DataFrame, truth: DataFrame) -> DataFrame:
+    """(what, mean, median, least, most) of cluster sizes and purities."""
+    from .evaluate import purity
+
+    rows = lambda df, c, name: df.agg(F.round(F.avg(c), 6).alias("mean"), F.percentile(F.col(c).cast("double"), 0.5).alias("median"), F.min(F.col(c).cast("double")).alias("least"), F.max(F.col(c).cast("double")).alias("most")).select(F.lit(name).alias("what"), "*")
+    size = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    return rows(size, "size", "size").unionByName(rows(purity(labels, truth), "purity", "purity"))

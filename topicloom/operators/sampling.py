@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def shuffled(seed: int, *columns: str) -> Column:
     """A reproducible random order: a hash that other engines compute alike."""
@@ -41,15 +43,42 @@ def batches(df: DataFrame, value: str, weight: str, size: int = 200) -> DataFram
     return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(F.desc(weight), value)) - 1) / size)).select(value, "batch")
 
 
+def draw(seed: int, n: Column, *columns: str) -> Column:
+    """A reproducible number from 0 to n - 1."""
+    return F.conv(F.substring(shuffled(seed, *columns), 1, 8), 16, 10).cast("long") % n
+
+
+def numbered(labels: DataFrame, seed: int = 42) -> DataFrame:
+    """(item_id, cluster_id, at, size): members in shuffled order from 0, by sixteenths of a cluster, so that a large one is not one task."""
+    m = labels.select("item_id", "cluster_id", shuffled(seed, "item_id").alias("o")).withColumn("part", F.substring("o", 1, 1))
+    counts = m.groupBy("cluster_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("cluster_id")  # at most 16 rows
+    counts = counts.select("cluster_id", "part", (F.sum("n").over(whole.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("size"))
+    row = F.row_number().over(Window.partitionBy("cluster_id", "part").orderBy("o", "item_id"))
+    return m.withColumn("row", row).join(counts, ["cluster_id", "part"]).select("item_id", "cluster_id", (F.col("before") + F.col("row") - 1).alias("at"), "size")
+
+
 def triplets(labels: DataFrame, anchors: DataFrame, seed: int = 42) -> DataFrame:
-    """(anchor, positive, negative): another member of the anchor's cluster, and the first by hash of the next cluster's members."""
-    members = labels.withColumn("_o", shuffled(seed, "item_id"))
-    ring = Window.partitionBy("cluster_id").orderBy("_o", "item_id")
-    nxt = members.withColumn("positive", F.coalesce(F.lead("item_id").over(ring), F.first("item_id").over(ring)))
-    heads = members.groupBy("cluster_id").agg(F.min_by("item_id", "_o").alias("head"))
-    order = Window.orderBy("cluster_id")  # one row a cluster
-    others = heads.select("cluster_id", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("negative"))
-    return nxt.join(anchors.select("item_id"), "item_id", "left_semi").where("positive <> item_id").join(others, "cluster_id").select(F.col("item_id").alias("anchor"), "positive", "negative")
+    """(anchor, positive, negative): the next member of the anchor's cluster in shuffled order, and a member drawn from a cluster drawn for each anchor."""
+    m = cut(numbered(labels, seed), "numbered")
+    clusters = m.where("at = 0").select("cluster_id", "size", (F.row_number().over(Window.orderBy("cluster_id")) - 1).alias("place"))  # one row a cluster
+    k = clusters.count()
+    own = m.where("size > 1").join(anchors.select("item_id"), "item_id", "left_semi").join(clusters.select("cluster_id", "place"), "cluster_id")
+    own = own.withColumn("next", (F.col("at") + 1) % F.col("size")).withColumn("other", (F.col("place") + 1 + draw(seed + 1, F.lit(max(1, k - 1)), "item_id")) % max(1, k)).where(F.col("other") != F.col("place"))
+    to = clusters.select(F.col("place").alias("other"), F.col("cluster_id").alias("to"), F.col("size").alias("to_size"))
+    own = own.join(to, "other").withColumn("spot", draw(seed + 2, F.col("to_size"), "item_id")).select(F.col("item_id").alias("anchor"), "cluster_id", "next", "to", "spot")
+    positive = m.select("cluster_id", F.col("at").alias("next"), F.col("item_id").alias("positive"))
+    negative = m.select(F.col("cluster_id").alias("to"), F.col("at").alias("spot"), F.col("item_id").alias("negative"))
+    return own.join(positive, ["cluster_id", "next"]).join(negative, ["to", "spot"]).select("anchor", "positive", "negative")
+
+
+def tagged(samples: dict[str, DataFrame], column: str = "dataset") -> DataFrame:
+    """The samples one below the other, each row with its dataset's name; a column that one lacks is null there."""
+    out = None
+    for name, df in samples.items():
+        now = df.withColumn(column, F.lit(name))
+        out = now if out is None else out.unionByName(now, allowMissingColumns=True)
+    return out
 
 
 def uncertain(entropy: DataFrame, pct: float = 0.6) -> DataFrame:

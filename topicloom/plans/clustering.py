@@ -29,7 +29,7 @@ def concept_clusters(items: DataFrame, *, pmi_k: int = 35, alpha: float = 0.8, s
     """(item_id, cluster_id) from items alone."""
     items = cut(items, "items")
     v = cut(concept_vectors(items, items.count(), pmi_k=pmi_k, alpha=alpha, max_df_pct=max_df_pct), "vectors")
-    return graph_clusters(items.select("item_id"), v, cut(knn.knn_sparse(v, neighbours), "knn"), sigma, gamma)
+    return graph_clusters(items.select("item_id"), v, cut(knn.knn_sparse(v, neighbours, sigma), "knn"), sigma, gamma)
 
 
 def dense_clusters(dense: DataFrame, *, sigma: float, gamma: float, neighbours: int = 30) -> DataFrame:
@@ -58,3 +58,84 @@ def best_per_family(results: DataFrame) -> DataFrame:
 
 def ablation_matrix(results: DataFrame, algorithms: list[str]) -> DataFrame:
     return results.groupBy("representation").pivot("algorithm", algorithms).agg(F.max("bal"))
+
+
+def _stacked(rows: list[DataFrame]) -> DataFrame:
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def _scored(labels: DataFrame, truth: DataFrame, **axes) -> DataFrame:
+    return evaluate.balanced(labels, truth).select(*[F.lit(v).alias(k) for k, v in axes.items()], "nmi", "coverage", "bal")
+
+
+def concept_sweep(items: DataFrame, truth: DataFrame, pmi_ks, alphas, sigmas, gammas, neighbours: int = 30, max_df_pct: float = 0.08) -> DataFrame:
+    """(pmi_k, alpha, sigma, gamma, nmi, coverage, bal): weights are made once, densified once per ``pmi_k``, neighbours once per ``alpha``, edges once per ``sigma``."""
+    items = cut(items, "items")
+    n, nodes, rows = items.count(), items.select("item_id"), []
+    w = cut(propagate.propagate(cut(weights.concept_weights(items, n, max_df_pct=max_df_pct), "weights"), items), "propagated")
+    words = cut(vectors.tfidf(items, n), "tfidf") if any(a < 1 for a in alphas) else None
+    for k in pmi_ks:
+        c = cut(vectors.concept_vectors(cut(propagate.densify(w, n, top_k=k), "densified")), "vectors")
+        for a in alphas:
+            v = c if a >= 1 else cut(vectors.hybrid(c, words, a), "hybrid")
+            near = cut(knn.knn_sparse(v, neighbours, min(sigmas)), "knn")
+            for s in sigmas:
+                e = cut(knn.edges(near, s), "edges")
+                for g in gammas:
+                    labels = cut(cascade.cascade(v, community.leiden(nodes, e, g)), "labels")
+                    rows.append(_scored(labels, truth, pmi_k=int(k), alpha=float(a), sigma=float(s), gamma=float(g)))
+    return _stacked(rows)
+
+
+def graph_sweep(nodes: DataFrame, v: DataFrame, near: DataFrame, concepts: DataFrame, truth: DataFrame, ks, sigmas, shared, gamma: float = 1.0) -> DataFrame:
+    """(k, sigma, min_shared, nmi, coverage, bal): ``near`` holds the largest k's neighbours (rank), ``concepts`` (item_id, concept) what ends of an edge must share."""
+    rows = []
+    for k in ks:
+        for s in sigmas:
+            e = cut(knn.edges(near.where(F.col("rank") <= k), s), "edges")
+            for m in shared:
+                kept = cut(knn.min_shared(e, concepts, m).select("src", "dst", "weight"), "edges") if m > 0 else e
+                labels = cut(cascade.cascade(v, community.leiden(nodes, kept, gamma)), "labels")
+                rows.append(_scored(labels, truth, k=int(k), sigma=float(s), min_shared=int(m)))
+    return _stacked(rows)
+
+
+def best_members(results: DataFrame, n: int | None) -> DataFrame:
+    """(run): the ``n`` best runs by bal (all for None); ties: the least name."""
+    return results.orderBy(F.desc("bal"), "run").select("run") if n is None else results.orderBy(F.desc("bal"), "run").limit(n).select("run")
+
+
+def ensemble_sweep(nodes: DataFrame, near: DataFrame, runs: DataFrame, results: DataFrame, truth: DataFrame, sizes=(3, 5, 8, None), gammas=(1.0,)) -> DataFrame:
+    """(members, gamma, nmi, coverage, bal): ensembles of the best runs; the co-association is made once per size."""
+    rows = []
+    for n in sizes:
+        chosen = cut(runs.join(best_members(results, n), "run", "left_semi"), "members")
+        e = cut(community.coassociation(near, chosen), "coassociation")
+        for g in gammas:
+            labels = cut(community.leiden(nodes, e, g), "labels")
+            rows.append(_scored(labels, truth, members=int(n or 0), gamma=float(g)))
+    return _stacked(rows)
+
+
+def suite(methods: dict[str, dict], truth: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(family, run, nmi, coverage, bal, error): each family's runs (name -> function without arguments that gives labels); a run that fails leaves its error, not the suite's."""
+    spark, rows = truth.sparkSession, []
+    for family, runs in methods.items():
+        if family in skip:
+            continue
+        for name, make in runs.items():
+            try:
+                got = evaluate.balanced(cut(make(), "labels"), truth).first()
+                rows.append((family, name, got["nmi"], got["coverage"], got["bal"], None))
+            except Exception as e:  # one method's failure is a row of the report
+                rows.append((family, name, None, None, None, f"{type(e).__name__}: {str(e)[:200]}"))
+    return spark.createDataFrame(rows, "family string, run string, nmi double, coverage double, bal double, error string")
+
+
+def ablation(representations: dict[str, DataFrame], algorithms: dict, truth: DataFrame) -> DataFrame:
+    """(representation, algorithm, nmi, coverage, bal): every algorithm (dense vectors -> labels) on every representation."""
+    made = suite({r: {a: (lambda f=f, v=v: f(v)) for a, f in algorithms.items()} for r, v in representations.items()}, truth)
+    return made.select(F.col("family").alias("representation"), F.col("run").alias("algorithm"), "nmi", "coverage", "bal", "error")

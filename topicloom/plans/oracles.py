@@ -142,6 +142,10 @@ def _sample(seed: int, col: str) -> str:
     return f"md5('{seed}:' || {col})"
 
 
+def _drawn(seed: int, col: str) -> str:
+    return f"cast('0x' || substr({_sample(seed, col)}, 1, 8) as bigint)"
+
+
 def oracle_sql() -> dict[str, str]:
     w, d = _weights(), {}
     d["items_build"] = f"with {ITEMS} select item_id, conv_id, turn, cast(len(prompt) as int) as prompt_chars, cast(len(response) as int) as response_chars from items"
@@ -238,7 +242,26 @@ tp as (select i, round(sim, 6) as sim from (select *, row_number() over (partiti
     d["stratified_sample"] = f"with z as (select lang, count(*) as size, sum(count(*)) over () as total from documents group by lang), qt as (select lang, cast(least(size, greatest(2, round(50.0::double * size / total))) as int) as quota from z), r as (select doc_id, lang, row_number() over (partition by lang order by {_sample(42, 'doc_id')}, doc_id) as r from documents) select doc_id, lang from r join qt using (lang) where r <= quota order by {_sample(43, 'doc_id')}, doc_id limit 50"
     d["capped_sample"] = f"with z as (select source, count(*) as size from documents group by source), b as (select *, least(size, greatest(1, least(5, floor(70.0 / count(*) over ())))) as base from z), o as (select *, 70 - sum(base) over () as rest, row_number() over (order by size desc, source) as o from b), qt as (select source, least(size, base + case when o <= rest then 1 else 0 end) as quota from o), r as (select doc_id, source, row_number() over (partition by source order by {_sample(42, 'doc_id')}, doc_id) as r from documents) select doc_id, source from r join qt using (source) where r <= quota order by {_sample(43, 'doc_id')}, doc_id limit 70"
     d["uniform_sample"] = f"select doc_id, lang from documents order by {_sample(42, 'doc_id')}, doc_id limit 25"
-    d["triplets"] = f"with {LAB}, m as (select *, {_sample(42, 'item_id')} as o from lab), n as (select *, coalesce(lead(item_id) over (partition by cluster_id order by o, item_id), first_value(item_id) over (partition by cluster_id order by o, item_id)) as positive from m), h as (select cluster_id, arg_min(item_id, o) as head from m group by 1), g as (select cluster_id, coalesce(lead(head) over (order by cluster_id), first_value(head) over (order by cluster_id)) as negative from h) select item_id as anchor, positive, negative from n join g using (cluster_id) where positive <> item_id and item_id % 10 = 0"
+    d["triplets"] = f"""with {LAB}, m as (select *, cast(row_number() over (partition by cluster_id order by {_sample(42, 'item_id')}, item_id) as bigint) - 1 as pos, count(*) over (partition by cluster_id) as size from lab),
+c as (select cluster_id, size, cast(row_number() over (order by cluster_id) as bigint) - 1 as place from m where pos = 0), k as (select count(*) as k from c),
+a as (select item_id as anchor, m.cluster_id, (pos + 1) % m.size as nxt, (place + 1 + {_drawn(43, 'item_id')} % greatest(1, k.k - 1)) % k.k as other, place from m join c using (cluster_id), k where m.size > 1),
+t as (select a.anchor, a.cluster_id, a.nxt, c.cluster_id as dest, {_drawn(44, 'anchor')} % c.size as spot from a join c on a.other = c.place where a.other <> a.place)
+select anchor, p.item_id as positive, g.item_id as negative from t join m p on p.cluster_id = t.cluster_id and p.pos = t.nxt join m g on g.cluster_id = t.dest and g.pos = t.spot"""
+    d["rule_labels"] = f"with {w}, x as (select distinct concept, list_sum(list_transform(string_split(concept, ''), lambda c: unicode(c))) as n from w) select concept, [{_list(q.CATEGORIES)}][cast(n % {len(q.CATEGORIES)} as int) + 1] as label from x"
+    d["cluster_profiles"] = f"""with {w}, {ITEM_LAB}, z as (select cluster_id, count(*) as size from il group by 1), s as (select cluster_id, concept, round(sum(weight) / max(size) * (count(*) / cast(max(size) as double)), 6) as score from il join w using (item_id) join z using (cluster_id) group by 1, 2),
+r as (select *, row_number() over (partition by cluster_id order by score desc, concept) as rank from s), t as (select cluster_id, list(concept order by rank) as concepts from r where rank <= 10 group by 1),
+nc as (select item_id, count(*) as n from w group by 1), p as (select il.cluster_id, il.item_id, prompt, row_number() over (partition by il.cluster_id order by coalesce(n, 0) desc, il.item_id) as rank from il join items using (item_id) left join nc on nc.item_id = il.item_id where len(trim(prompt)) > 10),
+e as (select cluster_id, list(substr(prompt, 1, 300) order by rank) as prompts from p where rank <= 3 group by 1)
+select cluster_id, size, concepts, prompts from z left join t using (cluster_id) left join e using (cluster_id) order by size desc, cluster_id limit 30"""
+    d["rejection_by_category"] = "select lang as category, count(*) as n, count(*) filter (where toxic = 1) as rejected, round(count(*) filter (where toxic = 1) / cast(count(*) as double), 6) as rate from labels join documents using (doc_id) group by 1"
+    d["corrections"] = "select source as correction, count(*) as n from labels join documents using (doc_id) where quality is distinct from 1 and source is not null group by 1 order by n desc, source limit 10"
+    d["disagreements"] = f"with {RATERS} select a, b, count(*) as n from ra where a <> b group by 1, 2 order by n desc, a, b limit 20"
+    d["bias_deltas"] = f"with {SCORES} select method, type, round(x, 4) as x, round(y, 4) as y, round(x - y, 4) as delta, case when y > 0 then round(x / y, 4) end as ratio from sco where x is not null and y is not null"
+    d["rank_vectors"] = f"with {SCORES} select method, cast(row_number() over (order by x desc, method) as int) as rank_x, cast(row_number() over (order by y desc, method) as int) as rank_y from sco"
+    d["head_to_head"] = f"with {SCORES}, o as (select * from sco where method = 'src0'), r as (select s.* from sco s, o where s.type <> o.type order by s.x desc, s.method limit 1), g as (select o.method, r.method as rival, o.x - r.x as gx, o.y - r.y as gy from o, r) select method, rival, round(gx, 4) as gap_x, round(gy, 4) as gap_y, case when gx > 0 and gy > 0 then round((1 - gy / gx) * 100, 4) end as shrinkage_pct from g"
+    d["cluster_summary"] = f"with {LAB}, {TRUTH}, z as (select cast(count(*) as double) as x from lab group by cluster_id), t as (select cluster_id, label, count(*) as n from lab join truth using (item_id) group by 1, 2), p as (select round(max(n) / cast(sum(n) as double), 6) as x from t group by cluster_id), u as (select 'size' as what, x from z union all select 'purity', x from p) select what, round(avg(x), 6) as mean, quantile_cont(x, 0.5) as median, min(x) as least, max(x) as most from u group by 1"
+    d["tagged_samples"] = "select doc_id as id, lang, cast(null as varchar) as url, 'documents' as dataset from documents union all select page_id, null, url, 'pages' from pages"
+    d["ensemble_members"] = f"with {RESULTS} select run from rs order by bal desc, run limit 8"
     d["coassociation_edges"] = f"with {_knn(10)}, {RUNS} select i as src, j as dst, round(sum((a.cluster_id = b.cluster_id)::int) / 3.0::double, 6) as weight from kn join ru a on a.item_id = i join ru b on b.item_id = j and a.run = b.run where j > i group by 1, 2 having sum((a.cluster_id = b.cluster_id)::int) > 0"
     d["best_per_family"] = f"with {RESULTS} select family, run, bal from (select *, row_number() over (partition by family order by bal desc, run) as r from rs) where r = 1"
     d["top_results"] = f"with {RESULTS} select run, bal from rs order by bal desc, run limit 30"

@@ -172,7 +172,7 @@ def knn_edges(s, d):
 
 def knn_min_shared(s, d):
     w = _weights(s, d)[2]
-    e = knn.edges(knn.knn_sparse(vectors.concept_vectors(w), 1_000_000), 0.05, "max")
+    e = knn.similar_pairs(vectors.concept_vectors(w), 0.05).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("sim").alias("weight"))
     return knn.min_shared(e, w, 2).select("src", "dst", "shared", F.round("weight", 5).alias("weight"))
 
 
@@ -320,7 +320,7 @@ def label_batches(s, d):
 
 
 def rule_labels(s, d):
-    return labelling.label(_weights(s, d)[2].select("concept").distinct().withColumn("value", F.col("concept")), "concept", "value", labelling.rule_labeller(CATEGORIES))
+    return _weights(s, d)[2].select("concept").distinct().select("concept", labelling.rule_label("concept", CATEGORIES).alias("label"))
 
 
 def label_normalize(s, d):
@@ -359,7 +359,7 @@ def uniform_sample(s, d):
 
 
 def triplets(s, d):
-    return sampling.triplets(_labels(s, d), _dense(s, d).where("item_id % 10 = 0"))
+    return sampling.triplets(_labels(s, d), _dense(s, d))
 
 
 def _runs(s, d):
@@ -477,6 +477,79 @@ def event_windows(s, d):
     return ev.windowed(readers.table(s, d, "events"))
 
 
+def rejection_by_category(s, d):
+    v = readers.table(s, d, "labels").join(readers.table(s, d, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluate.rejection_by_category(v.select(F.col("lang").alias("category"), F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "accept").otherwise("borderline").alias("verdict")))
+
+
+def corrections(s, d):
+    v = readers.table(s, d, "labels").join(readers.table(s, d, "documents").select("doc_id", "source"), "doc_id")
+    return evaluate.corrections(v.select(F.when(F.col("quality") == 1, "accept").otherwise("reject").alias("verdict"), F.col("source").alias("correction")))
+
+
+def disagreements(s, d):
+    return evaluate.disagreements(_raters(s, d))
+
+
+def bias_deltas(s, d):
+    return evaluate.bias_deltas(_scores(s, d))
+
+
+def rank_vectors(s, d):
+    return evaluate.rank_vectors(_scores(s, d))
+
+
+def head_to_head(s, d):
+    return evaluate.head_to_head(_scores(s, d), "src0")
+
+
+def cluster_summary(s, d):
+    return profile.summary(_labels(s, d), _truth(s, d))
+
+
+def tagged_samples(s, d):
+    one = lambda n: readers.table(s, d, n)
+    return sampling.tagged({"documents": one("documents").select(F.col("doc_id").alias("id"), "lang"), "pages": one("pages").select(F.col("page_id").alias("id"), "url")})
+
+
+def ensemble_members(s, d):
+    return clustering.best_members(_results(s, d), 8)
+
+
+def cascade_metrics(s, d):
+    return cascade.cascade_metrics(_long(s, d), _start(s, d), _truth(s, d))
+
+
+def concept_sweep(s, d):
+    items = _items(s, d)
+    return clustering.concept_sweep(items, items.select("item_id", (F.col("conv_id") % 4).cast("string").alias("label")), (20, 35), (0.8,), (0.3,), (5.0,), 10)
+
+
+def graph_sweep(s, d):
+    marks = _dense(s, d).select("item_id", F.explode(F.transform("v", lambda x, i: F.when(x > 0.15, i))).alias("concept")).where("concept is not null")
+    return clustering.graph_sweep(_dense(s, d).select("item_id"), cut(_long(s, d), "vectors"), _knn(s, d, 10), cut(marks, "marks"), _truth(s, d), (5, 10), (SIGMA,), (0, 1))
+
+
+def ensemble_sweep(s, d):
+    bal = s.createDataFrame([("a", 0.9), ("b", 0.1), ("c", 0.2)], "run string, bal double")
+    return clustering.ensemble_sweep(_dense(s, d).select("item_id"), _knn(s, d, 10), _runs(s, d), bal, _truth(s, d), (2, None), (1.0,))
+
+
+def _families(s, d):
+    v = cut(_dense(s, d), "dense")
+    return {"centroid": {"kmeans": lambda: baselines.kmeans(v, 8), "none": lambda: v.select("item_id", "no_such_column")}, "topics": {"own": lambda: _labels(s, d)}, "left out": {"x": lambda: _labels(s, d)}}
+
+
+def baseline_suite(s, d):
+    return clustering.suite(_families(s, d), _truth(s, d), skip=("left out",))
+
+
+def ablation_runs(s, d):
+    v = cut(_dense(s, d), "dense")
+    half = cut(v.select("item_id", F.transform("v", lambda x, i: F.when(i % 2 == 0, x).otherwise(0.0)).alias("v")), "dense")
+    return clustering.ablation({"all": v, "half": half}, {"k4": lambda x: baselines.kmeans(x, 4), "k8": lambda x: baselines.kmeans(x, 8)}, _truth(s, d))
+
+
 NAMES = [
     items_build, concept_drop_reason, drop_reason_counts, prompt_words, concept_df_idf, concept_weights, ppmi_prompt_response, concept_weights_strict, conv_donor, conv_propagate, cooccurrence, pmi_topk, pmi_densify, pmi_ablation,
     concept_vectors_l2, tfidf_vectors, bow_counts, hybrid_vectors, knn_dense, knn_sparse, knn_edges, knn_min_shared, isolated_nodes, graph_degrees, components, label_propagation, modularity_of_labels, leiden, centroids, assign_singletons,
@@ -484,6 +557,7 @@ NAMES = [
     cluster_size_summary, gt_propagate, category_merge, concept_frequency, label_batches, rule_labels, label_normalize, verdict_parse, verdict_stats, json_label_parse, ground_truth_layouts, stratified_sample, capped_sample, uniform_sample, triplets, coassociation_edges,
     ensemble_cluster, sweep_grid, best_per_family, top_results, ablation_matrix, concept_pipeline, dense_pipeline, kmeans_dense, spherical_kmeans, pca_kmeans, lda_topics, nmf_als, spectral_pic, density_clusters, class_terms, logreg_labels, flag_filter,
     valid_sorted_sample, null_issues, quality_report, root_causes, comparison_table, contract_report, event_windows,
+    rejection_by_category, corrections, disagreements, bias_deltas, rank_vectors, head_to_head, cluster_summary, tagged_samples, ensemble_members, cascade_metrics, concept_sweep, graph_sweep, ensemble_sweep, baseline_suite, ablation_runs,
 ]
 
 

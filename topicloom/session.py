@@ -25,9 +25,11 @@ def build(app: str = "topicloom", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir``; a folder of our own only where it is unset and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="topicloom-shared-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -35,12 +37,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: iterations neither recompute nor pile up plans."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: iterations neither recompute nor pile up plans. Deleted when the driver exits."""
     path = f"{shared_dir(df.sparkSession)}/topicloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _drop_written() -> None:
+    for spark, path in _written:
+        try:
+            delete(spark, path)
+        except Exception:  # the session is gone: the cluster's own cleaning applies
+            break
+    _written.clear()
+
+
+atexit.register(_drop_written)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once a session.
 
