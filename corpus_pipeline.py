@@ -66,7 +66,7 @@ STAGES = [
     ("byte-level BPE encoding and decoding", tokens),
 ]
 
-#: No SQL: the classifier's fit, verified near-duplicate classes and BPE have none. Tests hold run() against brute force.
+#: No SQL: the classifier's fit, verified near-duplicate classes and BPE have none. tests/llm/test_contracts.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
