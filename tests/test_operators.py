@@ -247,3 +247,106 @@ def test_shared_folder_is_asked_for(monkeypatch):
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(ValueError):
         session.shared_dir(far)
+
+
+def _planted(groups, size, inside, between, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    n = groups * size
+    near = (np.arange(n)[:, None] // size) == (np.arange(n) // size)
+    a, b = np.where(np.triu(rng.random((n, n)) < np.where(near, inside, between), 1))
+    return n, np.concatenate([a, b]), np.concatenate([b, a])
+
+
+def test_leiden_finds_planted_groups_and_keeps_them_connected():
+    import numpy as np
+
+    n, src, dst = _planted(8, 25, 0.5, 0.01, 3)
+    w, k = np.ones(len(src)), np.bincount(src, minlength=n).astype(float)
+    label = community._optimise(n, src, dst, w, k, 1.0 / len(src), 3)
+    assert len(np.unique(label)) == 8 and all(len(np.unique(label[g * 25 : g * 25 + 25])) == 1 for g in range(8))
+    for gamma in (0.5, 1.0, 4.0):
+        label = community._optimise(n, src, dst, w, k, gamma / len(src), 3)
+        assert len(np.unique(community._connected(label, src, dst))) == len(np.unique(label))
+
+
+def test_refinement_stays_within_communities_and_bounds():
+    import numpy as np
+
+    n, src, dst = _planted(4, 12, 0.4, 0.1, 5)
+    w, k = np.ones(len(src)), np.bincount(src, minlength=n).astype(float)
+    comm, scale = np.arange(n) // 24, 1.0 / len(src)
+    part = community._refine(n, src, dst, w, k, scale, comm)
+    assert len(np.unique(part)) < n
+    for p in np.unique(part):
+        m = np.where(part == p)[0]
+        assert len(np.unique(comm[m])) == 1
+        if len(m) > 1:  # each part is connected
+            inside = np.isin(src, m) & np.isin(dst, m)
+            seen = community._connected(np.where(part == p, 0, 1 + np.arange(n)), src[inside], dst[inside])
+            assert len(np.unique(seen[m])) == 1
+
+
+def test_kept_labels_are_not_asked_again(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    cats, folder = ["finance", "music"], str(asked)
+
+    def ask(frames):
+        import uuid
+        from pathlib import Path
+
+        for f in frames:
+            for v in f["value"]:
+                (Path(folder) / f"{v}-{uuid.uuid4().hex}").touch()
+            yield f.assign(label=["Category: Music" if v == "song" else "no idea" for v in f["value"]])[["key", "label"]]
+
+    df = _frame(spark, [("a", "song"), ("b", "noise"), ("a", "song"), (None, "void")], "k string, v string")
+    path = str(tmp_path / "kept")
+    for _ in range(2):
+        assert [tuple(r) for r in labelling.label_kept(df, "k", "v", ask, cats, path, steps=2).collect()] == [("a", "music")]
+    counts = [p.name.split("-")[0] for p in asked.iterdir()]
+    assert counts.count("song") == 1 and counts.count("noise") == 2 and "void" not in counts
+    assert labelling.label_kept(df.limit(0), "k", "v", ask, cats, str(tmp_path / "none")).count() == 0
+
+
+def test_batches_are_tried_again():
+    import pandas as pd
+
+    left = [2]
+
+    def flaky(frames):
+        for f in frames:
+            if left[0]:
+                left[0] -= 1
+                raise OSError("busy")
+            yield f
+
+    f = pd.DataFrame({"key": [1], "value": ["x"]})
+    assert len(list(labelling.retrying(flaky, 3, 0.0)(iter([f])))) == 1
+    left[0] = 2
+    with pytest.raises(OSError):
+        list(labelling.retrying(flaky, 2, 0.0)(iter([f])))
+
+
+def test_judging_and_taxonomies(spark):
+    cats = ["finance", "music"]
+    rows = _frame(spark, [("k1", "music", "a"), ("k2", "music", "b"), ("k3", "music", "")], "k string, label string, t string")
+    got = {r.k: (r.verdict, r.better) for r in labelling.verify(rows, "k", "t", labelling.rule_judge(cats), cats, 1).collect()}
+    assert got == {"k1": ("accept", None), "k2": ("reject", "finance")}
+    pairs = labelling.classify(rows.select("k", "t"), "k", "t", labelling.rule_labeller(cats), cats, rows.select("k", "label"))
+    assert {(r.k, r.a, r.b) for r in pairs.collect()} == {("k1", "music", "music"), ("k2", "music", "finance"), ("k3", "music", "finance")}
+    texts = _frame(spark, [(i, f"t{i}") for i in range(30)], "item_id long, t string")
+    grow = lambda names, batch: sorted(set(names) | {f"c{len(names) + j}" for j in range(2)})
+    assert len(labelling.taxonomy(texts, "item_id", "t", grow, batches=3, size=10)) == 6
+    assert labelling.taxonomy(texts, "item_id", "t", lambda names, batch: ["x"] if names else ["a", "b", "c"], batches=2, size=10) == ["a", "b", "c"]
+    labels = _frame(spark, [(i, "big" if i < 8 else "small") for i in range(10)], "item_id long, label string")
+    assert labelling.subdivided(labels, ["big", "small", "none"], lambda n: ["x", "y"], 0.5) == ["big: x", "big: y", "small", "none"]
+    assert tuple(labelling.dry_run(texts, "t", 20, 2.0).first()) == (30, 2, 80, 20, 0.00004)
+
+
+def test_kappa_interval_covers_kappa(spark):
+    pairs = _frame(spark, [(str(i % 2), str((i + (i % 10 == 0)) % 2)) for i in range(400)], "a string, b string")
+    r, k = evaluate.kappa_bootstrap(pairs, 200).first(), evaluate.kappa(pairs).first().kappa
+    assert 0 < r.lo < k < r.hi < 1 and abs((r.hi - r.lo) / 4 - 0.03) < 0.01  # the standard error of kappa here is 0.03

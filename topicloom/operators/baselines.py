@@ -84,7 +84,7 @@ def density(nodes: DataFrame, knn: DataFrame, min_samples: int = 5, min_size: in
 
     core = knn.where(F.col("rank") == min_samples).select(F.col("i").alias("item_id"), (1 - F.col("sim")).alias("core"))
     reach = knn.join(core.select(F.col("item_id").alias("i"), F.col("core").alias("ci")), "i").join(core.select(F.col("item_id").alias("j"), F.col("core").alias("cj")), "j")
-    reach = reach.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), F.greatest(1 - F.col("sim"), "ci", "cj").alias("d")).distinct()
+    reach = reach.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), F.round(F.greatest(1 - F.col("sim"), "ci", "cj"), 9).alias("d")).distinct()
     cut = reach.agg(F.percentile("d", quantile).alias("cut"))
     comp = components(nodes, reach.join(cut).where("d <= cut").select("src", "dst", (1 - F.col("d")).alias("weight")))
     size = comp.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))

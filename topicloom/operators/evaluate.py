@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,30 +72,36 @@ def kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return o.select(F.col("all_n").cast("long").alias("n"), F.round(F.when(F.col("all_n") > 0, po).otherwise(0.0), 6).alias("accuracy"), F.round(k, 6).alias("kappa"), band.alias("band"))
 
 
+#: Rows of the confusion table drawn at a time.
+DRAWN = 65_536
+#: Below these uniforms a Poisson variable of mean 1 is at most 0, 1, 2, ... (cumulative probabilities)
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(10))
+
+
 def kappa_bootstrap(pairs: DataFrame, b: int = 1000, seed: int = 42) -> DataFrame:
-    """One row (lo, hi): the 95 % interval of kappa over ``b`` resamples of the confusion table; (0, 1) under 10 rows.
+    """One row (lo, hi): the 95 % interval of kappa over ``b`` Poisson resamples; (0, 1) under 10 rows.
 
-    A resample of the rows is one multinomial draw over the cells, so only the
-    table of classes x classes is needed, not the rows.
+    Each row counts a hashed Poisson(1) number of times in a resample. Rows of a
+    cell are alike, so they are numbered in the confusion table, and counts add
+    up before the shuffle: what moves is runs x classes x classes.
     """
-    import numpy as np
-
-    t = pairs.groupBy(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["a", "b"])  # classes x classes
-    spark = pairs.sparkSession
-    if t["n"].sum() < 10:
-        return spark.createDataFrame([(0.0, 1.0)], "lo double, hi double")
-    rng, k = np.random.default_rng(seed), sorted(set(t["a"]) | set(t["b"]))
-    m = np.zeros((len(k), len(k)))
-    for x, y, n in t.itertuples(index=False):
-        m[k.index(x), k.index(y)] = n
-    found = []
-    for _ in range(b):
-        s = rng.multinomial(int(m.sum()), (m / m.sum()).reshape(-1)).reshape(m.shape)
-        n = s.sum()
-        po, pe = np.trace(s) / n, (s.sum(axis=1) * s.sum(axis=0)).sum() / n**2
-        found.append(1.0 if pe >= 1 else (po - pe) / (1 - pe))
-    lo, hi = np.percentile(found, [2.5, 97.5])
-    return spark.createDataFrame([(round(float(lo), 6), round(float(hi), 6))], "lo double, hi double")
+    from .sampling import shuffled
+
+    cells = pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    each = cells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAWN).cast("long"))).alias("at"))
+    each = each.select("a", "b", "n", "at", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("run"))
+    each = each.repartition("run", "a", "b", "at").select("run", "a", "b", F.explode(F.sequence("at", F.least(F.col("at") + DRAWN, "n") - 1)).alias("row"))
+    u = F.conv(F.substring(shuffled(seed, "run", "a", "b", "row"), 1, 8), 16, 10).cast("double") / 2.0**32
+    times = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
+    t = each.groupBy("run", "a", "b").agg(F.sum(times).cast(D).alias("w"))
+    ra, rb = t.groupBy("run", F.col("a").alias("k")).agg(F.sum("w").alias("ra")), t.groupBy("run", F.col("b").alias("k")).agg(F.sum("w").alias("rb"))
+    e = ra.join(rb, ["run", "k"]).groupBy("run").agg(F.sum(F.col("ra") * F.col("rb")).alias("e"))
+    o = t.groupBy("run").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("o")).where("w > 0")
+    po, pe = F.col("o") / F.col("w"), F.coalesce("e", F.lit(0.0)) / (F.col("w") * F.col("w"))
+    k = o.join(e, "run", "left").select(F.when(pe >= 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("k"))
+    ends = k.agg(F.percentile("k", 0.025).alias("lo"), F.percentile("k", 0.975).alias("hi"))
+    few = cells.agg((F.coalesce(F.sum("n"), F.lit(0)) < 10).alias("few"))
+    return few.join(ends).select(F.when(F.col("few"), 0.0).otherwise(F.round("lo", 6)).alias("lo"), F.when(F.col("few"), 1.0).otherwise(F.round("hi", 6)).alias("hi"))
 
 
 def kendall_tau(scores: DataFrame) -> DataFrame:

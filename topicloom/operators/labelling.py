@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import broad
+from ..functions.text import broad, normalise_label, parse_verdict
 from ..session import ship_code
 
 #: Takes and gives pandas frames: (key, value) -> (key, label).
@@ -37,10 +37,112 @@ def label(df: DataFrame, key: str, value: str, labeller: Labeller) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(value).alias("value")).mapInPandas(labeller, f"key {kind}, label string").withColumnRenamed("key", key)
 
 
+def retrying(labeller: Labeller, tries: int = 3, wait: float = 1.0) -> Labeller:
+    """Each batch is asked up to ``tries`` times, after twice as long a wait each time; the last failure fails the task."""
+
+    def run(frames):
+        import time
+
+        for f in frames:
+            for turn in range(tries):
+                try:
+                    found = list(labeller(iter([f])))
+                    break
+                except Exception:
+                    if turn + 1 == tries:
+                        raise
+                    time.sleep(wait * 2**turn)
+            yield from found
+
+    return run
+
+
+def label_kept(df: DataFrame, key: str, value: str, labeller: Labeller, categories: list[str], path: str, *, merge: dict[str, str] | None = None, steps: int = 1) -> DataFrame:
+    """(key, label) with every answer kept at ``path``: what has a label there is not asked again.
+
+    Answers that fit no category are kept with a null label, and asked again by
+    the next call. Open keys go in ``steps`` parts by hash, each written before
+    the next begins, so a call that is broken off loses one part at most. Of
+    rows that repeat a key the least value is asked. A null key is left out.
+    """
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, answer string, label string"
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
+    rows = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
+    for step in range(steps):
+        part = rows.where(F.pmod(F.xxhash64(key), F.lit(steps)) == step)
+        if there:
+            done = spark.read.schema(schema).parquet(path).where("label is not null").select(key)
+            part = part.join(done, key, "left_anti")
+        asked = label(part, key, value, labeller).withColumnRenamed("label", "answer")
+        asked.withColumn("label", normalise_label(F.col("answer"), categories, merge)).write.mode("append").parquet(path)
+        there = True
+    kept = spark.read.schema(schema).parquet(path).where("label is not null").groupBy(key).agg(F.min("label").alias("label"))
+    return kept.join(rows.select(key), key, "left_semi")
+
+
+def dry_run(df: DataFrame, value: str, size: int = 200, usd_per_million: float = 1.0) -> DataFrame:
+    """One row (n_values, n_batches, n_chars, est_tokens, est_usd): what labelling ``value`` would ask, at four characters a token."""
+    one = df.agg(F.countDistinct(value).alias("n_values"), F.coalesce(F.sum(F.length(value)), F.lit(0)).alias("n_chars"))
+    tokens = F.ceil(F.col("n_chars") / 4)
+    return one.select("n_values", F.ceil(F.col("n_values") / size).alias("n_batches"), "n_chars", tokens.alias("est_tokens"), F.round(tokens * usd_per_million / 1e6, 6).alias("est_usd"))
+
+
+def rule_judge(categories: list[str]) -> Labeller:
+    """Offline judge of values ``<label>\\n<text>``: accepts the rule labeller's category, else names it."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for v in f["value"]:
+                claimed, _, text = str(v).partition("\n")
+                own = categories[sum(map(ord, text)) % len(categories)]
+                out.append("ACCEPT" if own == claimed else f"REJECT\nbetter: {own}")
+            yield f.assign(label=out)[["key", "label"]]
+
+    return run
+
+
+def verify(labelled: DataFrame, key: str, text: str, judge: Labeller, categories: list[str], least_chars: int = 0) -> DataFrame:
+    """(key, label, verdict, better) of (key, label, text): a judge sees label and text; texts under ``least_chars`` are left out."""
+    rows = labelled.where(F.length(F.trim(text)) >= least_chars)
+    asked = label(rows.withColumn("asked", F.concat_ws("\n", "label", text)), key, "asked", judge).withColumnRenamed("label", "answer")
+    verdict, better = parse_verdict(F.col("answer"), categories)
+    return rows.select(key, "label").join(asked.select(key, verdict.alias("verdict"), better.alias("better")), key)
+
+
+def classify(texts: DataFrame, key: str, text: str, labeller: Labeller, categories: list[str], truth: DataFrame) -> DataFrame:
+    """(key, a, b): the given label and the one of an independent labeller, null where its answer fits no category; goes into kappa and confusion."""
+    own = label(texts, key, text, labeller).select(key, normalise_label(F.col("label"), categories).alias("b"))
+    return truth.select(key, F.col("label").alias("a")).join(own, key)
+
+
+def taxonomy(texts: DataFrame, key: str, text: str, propose: Callable[[list[str], list[str]], list[str]], *, batches: int = 5, size: int = 50, seed: int = 42) -> list[str]:
+    """Category names from ``batches`` drawn batches of ``size`` texts: ``propose(names so far, texts)`` gives the next names; a collapse is passed over.
+
+    The sample is the feature: at most ``batches * size`` texts reach the driver.
+    """
+    from .sampling import uniform
+
+    rows, names = [r[0] for r in uniform(texts, key, batches * size, seed).select(text).collect()], []
+    for at in range(0, len(rows), size):
+        names = refine_taxonomy(names, propose(names, rows[at : at + size]))
+    return names
+
+
+def subdivided(labels: DataFrame, names: list[str], split: Callable[[str], list[str]], most: float = 0.2) -> list[str]:
+    """``names`` with ``name: part`` in place of each that holds over ``most`` of the (item_id, label) rows."""
+    n = F.sum("n").over(Window.partitionBy())  # one row a category
+    large = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("label").isin(names)).withColumn("share", F.col("n") / n).where(F.col("share") > most)
+    large = {r.label for r in large.select("label").collect()}
+    return [x for name in names for x in ([f"{name}: {p}" for p in split(name)] if name in large else [name])]
+
+
 def merge_categories(concept_labels: DataFrame, target: int) -> DataFrame:
     """(concept, label): labels beyond the ``target`` most frequent become their broad part, or ``other``."""
-    n = concept_labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label")))
-    kept = n.where(F.col("rank") <= target).select(F.col("label").alias("kept"))
+    n = concept_labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    kept = n.orderBy(F.desc("n"), "label").limit(target).select(F.col("label").alias("kept"))
     x = concept_labels.withColumn("broad", broad(F.col("label")))
     x = x.join(kept, F.col("label") == F.col("kept"), "left").join(kept.withColumnRenamed("kept", "kept_broad"), F.col("broad") == F.col("kept_broad"), "left")
     return x.select("concept", F.coalesce("kept", "kept_broad", F.lit("other")).alias("label"))

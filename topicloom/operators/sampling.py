@@ -39,8 +39,14 @@ def capped(df: DataFrame, id_col: str, stratum: str, n: int, least: int = 1, mos
 
 
 def batches(df: DataFrame, value: str, weight: str, size: int = 200) -> DataFrame:
-    """(value, batch): values by falling weight in batches of ``size``."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(F.desc(weight), value)) - 1) / size)).select(value, "batch")
+    """(value, batch): values by falling weight in batches of ``size``; ranked within equal weights and two first letters, after the counts before."""
+    rows = df.select(value, F.col(weight).alias("_w"), F.substring(value, 1, 2).alias("_p"))
+    counts = rows.groupBy("_w", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(F.desc("_w"), "_p").rowsBetween(Window.unboundedPreceding, -1))  # one row a weight and prefix
+    counts = counts.select(F.col("_w").alias("_cw"), F.col("_p").alias("_cp"), F.coalesce(before, F.lit(0)).alias("_before"))
+    row = F.row_number().over(Window.partitionBy("_w", "_p").orderBy(value))
+    ranked = rows.withColumn("_row", row).join(counts, F.col("_w").eqNullSafe(F.col("_cw")) & F.col("_p").eqNullSafe(F.col("_cp")))
+    return ranked.select(value, F.floor((F.col("_before") + F.col("_row") - 1) / size).alias("batch"))
 
 
 def draw(seed: int, n: Column, *columns: str) -> Column:

@@ -146,10 +146,36 @@ def _drawn(seed: int, col: str) -> str:
     return f"cast('0x' || substr({_sample(seed, col)}, 1, 8) as bigint)"
 
 
+KAPPA = """, o as (select count(*) as n, avg((a = b)::int::double) as po from ra), e as (select sum(x.n * y.n) / cast((select n * n from o) as double) as pe from (select a as k, count(*) as n from ra group by 1) x join (select b as k, count(*) as n from ra group by 1) y using (k)), k as (select n, po, case when pe >= 1 then 1.0 else (po - pe) / (1 - pe) end as kappa from o, e) select n, round(po, 6) as accuracy, round(kappa, 6) as kappa, case when kappa >= 0.81 then 'almost perfect' when kappa >= 0.61 then 'substantial' when kappa >= 0.41 then 'moderate' when kappa >= 0.21 then 'fair' else 'slight' end as band from k"""
+
+
+def _turned(values, by: str) -> str:
+    return f"[{_list(values)}][cast({by} % {len(values)} as int) + 1]"
+
+
+TURNS = "(select conv_id * 100000 + turn as id, coalesce(text, '') as text from conversations) u"
+ANSWERS = f"select id, {_turned(q.HEADS, 'id')} || {_turned(q.SPELLINGS, '(id // 3)')} || {_turned(q.TAILS, '(id // 7)')} || text as answer from {TURNS} union all select -1 - id, answer from {_values(q.ANSWERS, 'answer')} y"
+VERDICTS = f"select id, {_turned(q.VERDICTS, 'id')} || ' ' || {_turned(q.SPELLINGS, '(id // 3)')} || chr(10) || text as answer from {TURNS} union all select -1 - id, answer from {_values(q.VERDICTS, 'answer')} y"
+JSONS = f"""select vec_id as id, '"v' || vec_id || '": "' || {_turned(q.CATEGORIES, 'vec_id')} || '" "also": "music"' as answer from embeddings union all select -1 - id, answer from {_values(q.JSONS, 'answer')} y"""
+
+
+def _rule(concept: str) -> str:
+    return f"[{_list(q.CATEGORIES)}][cast(list_sum(list_transform(string_split({concept}, ''), lambda c: unicode(c))) % {len(q.CATEGORIES)} as int) + 1]"
+
+
+def _poisson(seed: int, *columns: str) -> str:
+    """A Poisson variable of mean 1 from a hashed uniform."""
+    from ..operators.evaluate import POISSON
+
+    key = " || ':' || ".join(columns)
+    u = f"cast('0x' || substr(md5('{seed}:' || {key}), 1, 8) as bigint) / 4294967296.0::double"
+    return f"list_sum(list_transform([{', '.join(f'{p!r}::double' for p in POISSON)}], lambda p: ({u} >= p)::int))"
+
+
 def oracle_sql() -> dict[str, str]:
     w, d = _weights(), {}
     d["items_build"] = f"with {ITEMS} select item_id, conv_id, turn, cast(len(prompt) as int) as prompt_chars, cast(len(response) as int) as response_chars from items"
-    d["concept_drop_reason"] = f"select id, is_prompt, {_reason('concept', 'is_prompt')} as relaxed, {_reason_strict('concept', 'is_prompt')} as strict from {_values(q.CASES, 'concept')} x, (values (true), (false)) b(is_prompt)"
+    d["concept_drop_reason"] = f"with {ITEMS}, {TFIDF}, cc as (select term as concept from tm union select concept from {_values(q.CASES, 'concept')} x) select concept, is_prompt, {_reason('concept', 'is_prompt')} as relaxed, {_reason_strict('concept', 'is_prompt')} as strict from cc, (values (true), (false)) b(is_prompt)"
     d["drop_reason_counts"] = f"with {IC} select coalesce({_reason('concept', '(in_prompt = 1)')}, 'kept') as drop_reason, count(*) as n from ic group by 1"
     d["prompt_words"] = f"with {ITEMS} select item_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(coalesce(prompt, '')), '[a-z]{{2,}}')), lambda x: not list_contains({STOP}, x))), ' ') as words from items"
     d["concept_df_idf"] = f"with {IC}, {_kept()} select concept, count(*) as df, round(ln(cast((select n from N) as double) / count(*)), 6) as idf from f group by concept"
@@ -217,7 +243,7 @@ tp as (select i, round(sim, 6) as sim from (select *, row_number() over (partiti
     d["balanced_score"] = f"with {START}, {TRUTH}, {_nmi('st', 'truth')}, me as ({_metrics('st')}) select nmi, coverage, round(coalesce(nmi, 0) * coverage, 4) as bal from nm, me"
     d["nmi_subset"] = f"with {LAB}, {TRUTH}, sub as (select * from truth where item_id % 5 = 0), {_nmi('lab', 'sub', 20)} select * from nm"
     d["purity"] = f"with {LAB}, {TRUTH}, t as (select cluster_id, label, count(*) as n from lab join truth using (item_id) group by 1, 2) select cluster_id, cast(sum(n) as bigint) as size, first(label order by n desc, label) as dominant, round(max(n) / cast(sum(n) as double), 6) as purity from t group by 1"
-    d["kappa"] = f"with {RATERS}, o as (select count(*) as n, avg((a = b)::int::double) as po from ra), e as (select sum(x.n * y.n) / cast((select n * n from o) as double) as pe from (select a as k, count(*) as n from ra group by 1) x join (select b as k, count(*) as n from ra group by 1) y using (k)), k as (select n, po, case when pe >= 1 then 1.0 else (po - pe) / (1 - pe) end as kappa from o, e) select n, round(po, 6) as accuracy, round(kappa, 6) as kappa, case when kappa >= 0.81 then 'almost perfect' when kappa >= 0.61 then 'substantial' when kappa >= 0.41 then 'moderate' when kappa >= 0.21 then 'fair' else 'slight' end as band from k"
+    d["kappa"] = f"with {RATERS}" + KAPPA
     d["confusion"] = f"with {RATERS} select a, b, count(*) as n from ra group by 1, 2"
     d["kendall_tau"] = f"with {SCORES} select round(avg(case when (a.x > b.x) = (a.y > b.y) then 1.0::double else -1.0::double end), 6) as tau from sco a join sco b on a.method < b.method"
     d["bias_ratio"] = f"with {SCORES}, r as (select type, round(avg(x / y), 4) as mean_ratio from sco group by 1), g as (select round((max(mean_ratio) / min(mean_ratio) - 1) * 100, 1) as diff_pct from r) select type, mean_ratio, diff_pct, abs(diff_pct) > 10 as biased from r, g"
@@ -233,12 +259,29 @@ tp as (select i, round(sim, 6) as sim from (select *, row_number() over (partiti
     d["label_batches"] = f"with {w}, cn as (select concept, count(*) as freq from w group by 1) select concept, cast(floor((row_number() over (order by freq desc, concept) - 1) / 50) as bigint) as batch from cn"
     d["verdict_stats"] = "with v as (select case when toxic = 1 then 'reject' when quality = 1 then 'accept' else 'borderline' end as v from labels) select count(*) as n, count(*) filter (where v = 'accept') as accepted, count(*) filter (where v = 'borderline') as borderline, count(*) filter (where v = 'reject') as rejected, round(count(*) filter (where v = 'accept') / cast(count(*) as double), 6) as accept_rate, round(count(*) filter (where v <> 'reject') / cast(count(*) as double), 6) as acceptable_rate from v"
     known = f"[{_list(q.CATEGORIES)}]"
-    x = "trim(regexp_replace(regexp_replace(regexp_replace(lower(string_split(trim(answer), chr(10))[1]), '[\"''`]', '', 'g'), '^[-*•\\s]+', ''), '^category:\\s*', ''))"
+    x = "trim(regexp_replace(regexp_replace(regexp_replace(lower(string_split(regexp_replace(answer, '^\\s+|\\s+$', '', 'g'), chr(10))[1]), '[\"''`]', '', 'g'), '^[-*•\\s]+', ''), '^category:\\s*', ''))"
     flat = lambda c: f"regexp_replace({c}, '[ _/-]', '', 'g')"
-    d["label_normalize"] = f"with c as (select id, case when {x} = 'economics' then 'finance' else {x} end as c from {_values(q.ANSWERS, 'answer')} t) select id, case when c <> '' then coalesce(list_filter({known}, lambda k: k = c)[1], list_filter({known}, lambda k: {flat('k')} = {flat('c')})[1], list_filter({known}, lambda k: contains(c, k))[1]) end as label from c"
-    d["verdict_parse"] = f"with v as (select id, lower(answer) as a, case when lower(answer) like '%borderline%' then 'borderline' when regexp_matches(lower(answer), 'reject|incorrect|wrong') then 'reject' when regexp_matches(lower(answer), 'accept|correct|agree') then 'accept' end as verdict from {_values(q.VERDICTS, 'answer')} t) select id, verdict, case when verdict = 'reject' and contains(a, chr(10)) then list_filter({known}, lambda k: contains(substr(a, position(chr(10) in a)), k))[1] end as better from v"
-    d["json_label_parse"] = f"select id, regexp_extract(p, '\"([^\"]+)\"\\s*:\\s*\"([^\"]+)\"', 1) as concept, regexp_extract(p, '\"([^\"]+)\"\\s*:\\s*\"([^\"]+)\"', 2) as label from (select id, unnest(regexp_extract_all(answer, '\"[^\"]+\"\\s*:\\s*\"[^\"]+\"')) as p from {_values(q.JSONS, 'answer')} t)"
-    d["ground_truth_layouts"] = "select * from (values (cast(1 as bigint), 'a'), (2, 'c'), (3, 'd'), (4, 'e')) t(item_id, label)"
+    d["label_kept"] = d["rule_labels"] = f"with {w} select distinct concept, {_rule('concept')} as label from w"
+    d["label_dry_run"] = f"with {w}, o as (select count(distinct concept) as n_values, cast(sum(len(concept)) as bigint) as n_chars from w) select n_values, cast(ceil(n_values / 200.0) as bigint) as n_batches, n_chars, cast(ceil(n_chars / 4.0) as bigint) as est_tokens, round(ceil(n_chars / 4.0) / 1000000.0::double, 6) as est_usd from o"
+    claims = f"{w}, cl as (select distinct concept, case when regexp_matches(concept, '^[aeiou]') then 'science' else {_rule('concept')} end as label, {_rule('concept')} as own from w)"
+    d["judge_verdicts"] = f"with {claims} select concept, label, case when label = own then 'accept' else 'reject' end as verdict, case when label <> own then own end as better from cl"
+    d["judge_agreement"] = "with " + claims + ", ra as (select label as a, own as b from cl)" + KAPPA
+    d["kappa_bootstrap"] = f"""with {RATERS}, ce as (select cast(a as varchar) as a, cast(b as varchar) as b, count(*) as n from ra where a is not null and b is not null group by 1, 2),
+ea as (select a, b, r, i from (select a, b, unnest(range(n)) as i from ce) x, range(200) t(r)),
+t as (select r, a, b, cast(sum({_poisson(42, 'r', 'a', 'b', 'i')}) as double) as w from ea group by 1, 2, 3),
+e as (select x.r, sum(x.s * y.s) as e from (select r, a as k, sum(w) as s from t group by 1, 2) x join (select r, b as k, sum(w) as s from t group by 1, 2) y using (r, k) group by 1),
+o as (select r, sum(w) as w, sum(case when a = b then w else 0 end) as o from t group by 1),
+k as (select case when coalesce(e, 0) / (w * w) >= 1 then 1.0::double else (o / w - coalesce(e, 0) / (w * w)) / (1 - coalesce(e, 0) / (w * w)) end as k from o left join e using (r) where w > 0)
+select case when (select sum(n) from ce) < 10 then 0.0 else round(quantile_cont(k, 0.025), 6) end as lo, case when (select sum(n) from ce) < 10 then 1.0 else round(quantile_cont(k, 0.975), 6) end as hi from k"""
+    d["density_clusters"] = f"""with recursive {_knn(10)}, cr as (select i, 1 - sim as c from kn where rank = 5),
+rx as (select distinct least(kn.i, kn.j) as src, greatest(kn.i, kn.j) as dst, round(greatest(1 - kn.sim, x.c, y.c), 9) as d from kn join cr x on x.i = kn.i join cr y on y.i = kn.j),
+le as (select src, dst from rx where d <= (select quantile_cont(d, 0.3) from rx)), sy as (select src, dst from le union select dst, src from le),
+rc as (select item_id, item_id as r from em union select rc.item_id, sy.dst from rc join sy on rc.r = sy.src), cp as (select item_id, min(r) as c from rc group by 1), z as (select c, count(*) as n from cp group by 1)
+select item_id, case when n >= 5 then c else -item_id - 2 end as cluster_id from cp join z using (c)"""
+    d["label_normalize"] = f"with c as (select id, case when {x} = 'economics' then 'finance' else {x} end as c from ({ANSWERS}) t) select id, case when c <> '' then coalesce(list_filter({known}, lambda k: k = c)[1], list_filter({known}, lambda k: {flat('k')} = {flat('c')})[1], list_filter({known}, lambda k: contains(c, k))[1]) end as label from c"
+    d["verdict_parse"] = f"with v as (select id, lower(answer) as a, case when lower(answer) like '%borderline%' then 'borderline' when regexp_matches(lower(answer), 'reject|incorrect|wrong') then 'reject' when regexp_matches(lower(answer), 'accept|correct|agree') then 'accept' end as verdict from ({VERDICTS}) t) select id, verdict, case when verdict = 'reject' and contains(a, chr(10)) then list_filter({known}, lambda k: contains(substr(a, position(chr(10) in a)), k))[1] end as better from v"
+    d["json_label_parse"] = f"select id, regexp_extract(p, '\"([^\"]+)\"\\s*:\\s*\"([^\"]+)\"', 1) as concept, regexp_extract(p, '\"([^\"]+)\"\\s*:\\s*\"([^\"]+)\"', 2) as label from (select id, unnest(regexp_extract_all(answer, '\"[^\"]+\"\\s*:\\s*\"[^\"]+\"')) as p from ({JSONS}) t)"
+    d["ground_truth_layouts"] = "select vec_id as item_id, 'l' || label as label from embeddings where label is not null"
     d["stratified_sample"] = f"with z as (select lang, count(*) as size, sum(count(*)) over () as total from documents group by lang), qt as (select lang, cast(least(size, greatest(2, round(50.0::double * size / total))) as int) as quota from z), r as (select doc_id, lang, row_number() over (partition by lang order by {_sample(42, 'doc_id')}, doc_id) as r from documents) select doc_id, lang from r join qt using (lang) where r <= quota order by {_sample(43, 'doc_id')}, doc_id limit 50"
     d["capped_sample"] = f"with z as (select source, count(*) as size from documents group by source), b as (select *, least(size, greatest(1, least(5, floor(70.0 / count(*) over ())))) as base from z), o as (select *, 70 - sum(base) over () as rest, row_number() over (order by size desc, source) as o from b), qt as (select source, least(size, base + case when o <= rest then 1 else 0 end) as quota from o), r as (select doc_id, source, row_number() over (partition by source order by {_sample(42, 'doc_id')}, doc_id) as r from documents) select doc_id, source from r join qt using (source) where r <= quota order by {_sample(43, 'doc_id')}, doc_id limit 70"
     d["uniform_sample"] = f"select doc_id, lang from documents order by {_sample(42, 'doc_id')}, doc_id limit 25"
@@ -247,7 +290,6 @@ c as (select cluster_id, size, cast(row_number() over (order by cluster_id) as b
 a as (select item_id as anchor, m.cluster_id, (pos + 1) % m.size as nxt, (place + 1 + {_drawn(43, 'item_id')} % greatest(1, k.k - 1)) % k.k as other, place from m join c using (cluster_id), k where m.size > 1),
 t as (select a.anchor, a.cluster_id, a.nxt, c.cluster_id as dest, {_drawn(44, 'anchor')} % c.size as spot from a join c on a.other = c.place where a.other <> a.place)
 select anchor, p.item_id as positive, g.item_id as negative from t join m p on p.cluster_id = t.cluster_id and p.pos = t.nxt join m g on g.cluster_id = t.dest and g.pos = t.spot"""
-    d["rule_labels"] = f"with {w}, x as (select distinct concept, list_sum(list_transform(string_split(concept, ''), lambda c: unicode(c))) as n from w) select concept, [{_list(q.CATEGORIES)}][cast(n % {len(q.CATEGORIES)} as int) + 1] as label from x"
     d["cluster_profiles"] = f"""with {w}, {ITEM_LAB}, z as (select cluster_id, count(*) as size from il group by 1), s as (select cluster_id, concept, round(sum(weight) / max(size) * (count(*) / cast(max(size) as double)), 6) as score from il join w using (item_id) join z using (cluster_id) group by 1, 2),
 r as (select *, row_number() over (partition by cluster_id order by score desc, concept) as rank from s), t as (select cluster_id, list(concept order by rank) as concepts from r where rank <= 10 group by 1),
 nc as (select item_id, count(*) as n from w group by 1), p as (select il.cluster_id, il.item_id, prompt, row_number() over (partition by il.cluster_id order by coalesce(n, 0) desc, il.item_id) as rank from il join items using (item_id) left join nc on nc.item_id = il.item_id where len(trim(prompt)) > 10),

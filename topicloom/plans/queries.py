@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import baselines, cascade, community, evaluate, knn, labelling, profile, propagate, rules, sampling, vectors, weights
-from ..session import cut
+from ..session import cut, drop_later, shared_dir
 from ..sources import readers
 from ..streaming import events as ev
 from . import clustering
@@ -15,6 +17,9 @@ from . import clustering
 CATEGORIES = ["art_design", "business", "coding", "education", "finance", "health", "music", "science"]
 SIGMA = 0.25
 
+HEADS = ["Category: ", "- \"", "I would say ", "\u2022 ", ""]
+SPELLINGS = ["Art-Design", "economics", "FINANCE", "coding", "Health", "none of them", "music", "science/"]
+TAILS = ["\n", "\"\nbecause ", " ", "."]
 #: Concepts that meet each rule of the filters.
 CASES = ["ab", "3.14", "james", "james bond", "james mary", "james testing", "james pushkinovich", "please help", "sure thing", "scalable design", "value", "london", "wizard", "machine learning", " Trim Me "]
 ANSWERS = ["Category: Art-Design", "- \"Finance\"", "economics", "I would say music", "coding\nbecause", "", "nothing known", "• Health"]
@@ -65,14 +70,33 @@ def _literals(s, values, name):
     return s.createDataFrame(list(enumerate(values)), f"id long, {name} string")
 
 
+def _turns(s, d):
+    """(id, text) of every turn: what raw answers are made of."""
+    c = readers.table(s, d, "conversations")
+    ident = F.col("conv_id") * 100_000 + F.col("turn")
+    return c.select(ident.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _pick(values, by):
+    return F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
+
+
+def _answers(s, d):
+    """A raw answer a turn: every heading, name and tail in turn, then the turn's text."""
+    i = F.col("id")
+    parts = [_pick(HEADS, i % len(HEADS)), _pick(SPELLINGS, F.floor(i / 3) % len(SPELLINGS)), _pick(TAILS, F.floor(i / 7) % len(TAILS)), F.col("text")]
+    return _turns(s, d).select("id", F.concat(*parts).alias("answer")).unionByName(_literals(s, ANSWERS, "answer").withColumn("id", -1 - F.col("id")))
+
+
 def items_build(s, d):
     return _items(s, d).select("item_id", "conv_id", "turn", F.length("prompt").alias("prompt_chars"), F.length("response").alias("response_chars"))
 
 
 def concept_drop_reason(s, d):
-    c = _literals(s, CASES, "concept")
+    terms = vectors.ngrams(_items(s, d)).select(F.col("term").alias("concept"))
+    c = terms.unionByName(_literals(s, CASES, "concept").select("concept")).distinct()
     side = c.withColumn("is_prompt", F.explode(F.array(F.lit(True), F.lit(False))))
-    return side.select("id", "is_prompt", tx.drop_reason(F.col("concept"), F.col("is_prompt")).alias("relaxed"), tx.drop_reason_strict(F.col("concept"), F.col("is_prompt")).alias("strict"))
+    return side.select("concept", "is_prompt", tx.drop_reason(F.col("concept"), F.col("is_prompt")).alias("relaxed"), tx.drop_reason_strict(F.col("concept"), F.col("is_prompt")).alias("strict"))
 
 
 def drop_reason_counts(s, d):
@@ -323,13 +347,45 @@ def rule_labels(s, d):
     return _weights(s, d)[2].select("concept").distinct().select("concept", labelling.rule_label("concept", CATEGORIES).alias("label"))
 
 
+def label_kept(s, d):
+    w = _weights(s, d)[2].select("concept").distinct()
+    path = f"{shared_dir(s)}/topicloom/answers-{uuid.uuid4().hex}"
+    drop_later(s, path)
+    half = w.where(F.length("concept") % 2 == 0)
+    ask = labelling.retrying(labelling.rule_labeller(CATEGORIES))
+    labelling.label_kept(half.withColumn("value", F.col("concept")), "concept", "value", ask, CATEGORIES, path)
+    return labelling.label_kept(w.withColumn("value", F.col("concept")), "concept", "value", ask, CATEGORIES, path, steps=2)
+
+
+def label_dry_run(s, d):
+    return labelling.dry_run(_weights(s, d)[2], "concept")
+
+
+def _claims(s, d):
+    """Each concept with a claimed category: its rule's, but for concepts that begin with a vowel."""
+    c = _weights(s, d)[2].select("concept").distinct()
+    return c.select("concept", F.when(F.col("concept").rlike("^[aeiou]"), "science").otherwise(labelling.rule_label("concept", CATEGORIES)).alias("label"))
+
+
+def judge_verdicts(s, d):
+    c = _claims(s, d).withColumn("text", F.col("concept"))
+    return labelling.verify(c, "concept", "text", labelling.rule_judge(CATEGORIES), CATEGORIES)
+
+
+def judge_agreement(s, d):
+    c = _claims(s, d)
+    return evaluate.kappa(labelling.classify(c.withColumn("text", F.col("concept")), "concept", "text", labelling.rule_labeller(CATEGORIES), CATEGORIES, c))
+
+
 def label_normalize(s, d):
-    return _literals(s, ANSWERS, "answer").select("id", tx.normalise_label(F.col("answer"), CATEGORIES, {"economics": "finance"}).alias("label"))
+    return _answers(s, d).select("id", tx.normalise_label(F.col("answer"), CATEGORIES, {"economics": "finance"}).alias("label"))
 
 
 def verdict_parse(s, d):
     v, better = tx.parse_verdict(F.col("answer"), CATEGORIES)
-    return _literals(s, VERDICTS, "answer").select("id", v.alias("verdict"), better.alias("better"))
+    i = F.col("id")
+    said = _turns(s, d).select("id", F.concat(_pick(VERDICTS, i % len(VERDICTS)), F.lit(" "), _pick(SPELLINGS, F.floor(i / 3) % len(SPELLINGS)), F.lit("\n"), "text").alias("answer"))
+    return said.unionByName(_literals(s, VERDICTS, "answer").withColumn("id", -1 - F.col("id"))).select("id", v.alias("verdict"), better.alias("better"))
 
 
 def verdict_stats(s, d):
@@ -338,12 +394,23 @@ def verdict_stats(s, d):
 
 
 def json_label_parse(s, d):
-    return _literals(s, JSONS, "answer").select("id", F.explode(tx.json_labels(F.col("answer"))).alias("concept", "label"))
+    e = readers.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("k"), _pick(CATEGORIES, F.col("vec_id") % len(CATEGORIES)).alias("v"))
+    fenced = F.concat(F.lit('```json\n{"'), "k", F.lit('": "'), "v", F.lit('", "also": "music",}\n```'))
+    lines = F.concat(F.lit('Labels:\n"'), "k", F.lit('": "'), "v", F.lit('"\n"also" : "music"'))
+    said = e.select("id", F.when(F.col("id") % 2 == 0, fenced).otherwise(lines).alias("answer"))
+    return said.unionByName(_literals(s, JSONS, "answer").withColumn("id", -1 - F.col("id"))).select("id", F.explode(tx.json_labels(F.col("answer"))).alias("concept", "label"))
 
 
 def ground_truth_layouts(s, d):
-    docs = ['{"prompt_labels": {"1": "a", "x": "b"}}', '{"items": [{"query_idx": "2", "category": "c"}]}', '{"data": [{"idx": "3", "label": "d"}]}', '{"4": "e", "note": "f"}']
-    return readers.parse_ground_truth(_literals(s, docs, "value"))
+    e = readers.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("l"), F.col("label").cast("string")).alias("l")).where("l is not null")
+    q = lambda name: F.concat(F.lit(f'"{name}": "'), F.col("id").cast("string"), F.lit('"'))
+    pair = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('": "'), "l", F.lit('"'))
+    row = lambda i, c: F.concat(F.lit("{"), q(i), F.lit(f', "{c}": "'), "l", F.lit('"}'))
+    layout, joined = F.col("file") % 4, lambda x: F.array_join(F.collect_list(x), ", ")
+    files = e.groupBy(F.floor(F.col("id") / 100).alias("file")).agg(joined(pair).alias("pairs"), joined(row("query_idx", "category")).alias("items"), joined(row("idx", "label")).alias("data"))
+    around = lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
+    doc = F.when(layout == 0, around('{"prompt_labels": {"x": "y", ', "pairs", "}}")).when(layout == 1, around('{"items": [', "items", "]}")).when(layout == 2, around('{"data": [', "data", "]}"))
+    return readers.parse_ground_truth(files.select(doc.otherwise(around('{"note": "n", ', "pairs", "}")).alias("value")))
 
 
 def stratified_sample(s, d):
@@ -554,7 +621,7 @@ NAMES = [
     items_build, concept_drop_reason, drop_reason_counts, prompt_words, concept_df_idf, concept_weights, ppmi_prompt_response, concept_weights_strict, conv_donor, conv_propagate, cooccurrence, pmi_topk, pmi_densify, pmi_ablation,
     concept_vectors_l2, tfidf_vectors, bow_counts, hybrid_vectors, knn_dense, knn_sparse, knn_edges, knn_min_shared, isolated_nodes, graph_degrees, components, label_propagation, modularity_of_labels, leiden, centroids, assign_singletons,
     cascade_labels, cascade_rounds, cluster_metrics, nmi_ari, balanced_score, nmi_subset, purity, kappa, kappa_bootstrap, confusion, kendall_tau, bias_ratio, neighbor_entropy, uncertain_anchors, cluster_profile_concepts, cluster_profile_labels, cluster_profiles,
-    cluster_size_summary, gt_propagate, category_merge, concept_frequency, label_batches, rule_labels, label_normalize, verdict_parse, verdict_stats, json_label_parse, ground_truth_layouts, stratified_sample, capped_sample, uniform_sample, triplets, coassociation_edges,
+    cluster_size_summary, gt_propagate, category_merge, concept_frequency, label_batches, rule_labels, label_kept, label_dry_run, judge_verdicts, judge_agreement, label_normalize, verdict_parse, verdict_stats, json_label_parse, ground_truth_layouts, stratified_sample, capped_sample, uniform_sample, triplets, coassociation_edges,
     ensemble_cluster, sweep_grid, best_per_family, top_results, ablation_matrix, concept_pipeline, dense_pipeline, kmeans_dense, spherical_kmeans, pca_kmeans, lda_topics, nmf_als, spectral_pic, density_clusters, class_terms, logreg_labels, flag_filter,
     valid_sorted_sample, null_issues, quality_report, root_causes, comparison_table, contract_report, event_windows,
     rejection_by_category, corrections, disagreements, bias_deltas, rank_vectors, head_to_head, cluster_summary, tagged_samples, ensemble_members, cascade_metrics, concept_sweep, graph_sweep, ensemble_sweep, baseline_suite, ablation_runs,

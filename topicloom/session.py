@@ -40,13 +40,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: iterations neither recompute nor pile up plans. Deleted when the driver exits."""
     path = f"{shared_dir(df.sparkSession)}/topicloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((df.sparkSession, path))
+    drop_later(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def drop_later(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the driver exits."""
+    _written.append((spark, path))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
