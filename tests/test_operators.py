@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as tx
-from topicloom.operators import cascade, community, evaluate, knn, labelling, propagate, rules, sampling, weights
+from topicloom.operators import baselines, cascade, community, evaluate, knn, labelling, propagate, rules, sampling, vectors, weights
 from topicloom.sources import readers, sinks
 
 
@@ -350,3 +350,106 @@ def test_kappa_interval_covers_kappa(spark):
     pairs = _frame(spark, [(str(i % 2), str((i + (i % 10 == 0)) % 2)) for i in range(400)], "a string, b string")
     r, k = evaluate.kappa_bootstrap(pairs, 200).first(), evaluate.kappa(pairs).first().kappa
     assert 0 < r.lo < k < r.hi < 1 and abs((r.hi - r.lo) / 4 - 0.03) < 0.01  # the standard error of kappa here is 0.03
+
+
+def test_strict_patterns_and_scripts(spark):
+    df = _frame(spark, [("can you tell",), ("step 2",), ("i think",), ("kernel of",), ("canal",)], "c string")
+    got = {r.c: r.r for r in df.select("c", tx.drop_reason_strict(F.col("c"), F.lit(True)).alias("r")).collect()}
+    assert got == {"can you tell": "llm_filler", "step 2": "llm_filler", "i think": "llm_filler", "kernel of": "llm_filler", "canal": None}
+    text = _frame(spark, [("Привет мир, été x 東京 ok",)], "t string")
+    assert text.select(tx.word_concepts(F.col("t"), tx.ANY_SCRIPT).alias("w")).first().w == ["привет", "мир", "été", "東京", "ok"]
+    assert text.select(tx.word_concepts(F.col("t")).alias("w")).first().w == ["ok"]
+
+
+def test_usable_texts(spark):
+    df = _frame(spark, [(None,), ("",), ("  0123456789 ",), ("01234567890",)], "t string")
+    rows = df.select(tx.usable(F.col("t")).alias("a"), tx.usable(F.col("t"), beyond=True).alias("b"), tx.shortened(F.col("t"), 3).alias("c")).collect()
+    assert [(r.a, r.b, r.c) for r in rows] == [(False, False, None), (False, False, ""), (True, False, "  0"), (True, True, "012")]
+
+
+def test_hashed_and_defaulted_vectors(spark):
+    items = _frame(spark, [(1, "alpha beta alpha"), (2, None), (3, "!!")], "item_id long, prompt string")
+    got = {r.item_id: r.v for r in vectors.hashed(items, 32).collect()}
+    assert math.isclose(sum(x * x for x in got[1]), 1.0) and len(got[1]) == 32
+    assert got[2] == got[3] == [0.0] * 32
+    pairs = _frame(spark, [(1, "a"), (1, "b")], "item_id long, concept string")
+    w = _frame(spark, [(1, "a", 0.2)], "item_id long, concept string, weight double")
+    v = {r.dim: r.v for r in vectors.paired_vectors(pairs, w, 0.1).collect()}
+    assert math.isclose(v["a"] / v["b"], 2.0)
+
+
+def test_spherical_refit_and_connectivity(spark):
+    rows = [(i, [math.cos(a), math.sin(a)]) for i, a in enumerate((0.0, 0.1, 0.2, 1.5, 1.6, 1.4))] + [(6, [0.0, 0.0])]
+    start = [(0, 0), (1, 0), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1)]
+    got = dict(baselines.spherical_refit(_frame(spark, rows, "item_id long, v array<double>"), _frame(spark, start, "item_id long, cluster_id long")).collect())
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 0}
+    near = _frame(spark, [(1, 2), (2, 1), (3, 1)], "i long, j long")
+    edges = baselines.connectivity(near)
+    assert sorted(map(tuple, edges.collect())) == [(1, 2, 1.0), (1, 3, 0.5)]
+    found = dict(baselines.spectral(_frame(spark, [(1,), (2,), (3,), (9,)], "item_id long"), edges, 2).collect())
+    assert set(found) == {1, 2, 3, 9} and found[9] == -11
+
+
+def test_topics_with_like_terms_merge(spark):
+    texts = ["solar panel energy", "energy solar panel", "panel energy solar", "solar energy panel", "violin concert", "concert violin"]
+    items = _frame(spark, list(enumerate(texts)), "item_id long, prompt string")
+    labels = _frame(spark, [(0, 1), (1, 1), (2, 4), (3, 4), (4, 7), (5, 7)], "item_id long, cluster_id long")
+    assert dict(baselines.merge_topics(items, labels, 0.9).collect()) == {0: 1, 1: 1, 2: 1, 3: 1, 4: 7, 5: 7}
+
+
+def test_consolidated_labels_and_annotation(spark):
+    labels = _frame(spark, [("a", "x"), ("b", "y"), ("c", None)], "concept string, label string")
+    canonical = _frame(spark, [("x", "z"), ("x", "w"), (None, "n")], "label string, canonical string")
+    assert {r.concept: r.label for r in labelling.consolidate(labels, canonical).collect()} == {"a": "w", "b": "y", "c": None}
+    ids = _frame(spark, [(1,), (2,)], "item_id long")
+    rows = sampling.annotation(ids, _frame(spark, [(1, "p"), (3, "q")], "item_id long, prompt string"), _frame(spark, [(1, "l"), (2, "m")], "item_id long, label string"))
+    assert [tuple(r) for r in rows.collect()] == [(1, "p", "l")]
+
+
+def test_rules_report_and_refuse(spark):
+    df = _frame(spark, [(1, 5.0), (2, None), (3, 9.0)], "id long, v double")
+    rule, (before, after) = rules.counted(rules.between("id", 2, 3))
+    assert rule(df).count() == 2 and (before.get["rows"], after.get["rows"]) == (3, 2)
+    assert rules.between("id", first=9, enabled=False)(df).count() == 3
+    assert not rules.validate(df, {"id": "bigint"}, {"id": F.col("id") > 0}).has_errors
+    assert rules.validate(df, {"id": "int"}).errors == ("id: bigint, not int",)
+    assert rules.validate(df, expectations={"v there": F.col("v").isNotNull()}).errors == ("v there: 1 of 3 rows",)
+    with pytest.raises(ValueError, match="v there"):
+        rules.validate(df, expectations={"v there": F.col("v").isNotNull()}, strict=True)
+    made = []
+    frames = rules.Frames(raw=lambda f: made.append("raw") or df, known=lambda f: f["raw"].where("v is not null"))
+    assert frames["known"].count() == 2 and frames["raw"].count() == 3 and made == ["raw"]
+    frames.clear()
+
+
+def test_anomalies(spark):
+    df = _frame(spark, [("a", 1.0)] * 20 + [("a", 100.0)] + [("b", 5.0)] * 3, "g string, v double")
+    assert [(r.g, r.side, r.n) for r in rules.anomalies(df, "g", "v").collect()] == [("a", "high", 1)]
+
+
+def test_vectors_and_items_must_agree(spark):
+    dense = _frame(spark, [(1, [0.1]), (2, [0.2])], "item_id long, v array<double>")
+    assert readers.aligned(dense, dense.select("item_id")).count() == 2
+    for other in (dense.where("item_id = 1"), dense.unionByName(dense)):
+        with pytest.raises(ValueError, match="vector"):
+            readers.aligned(other, dense.select("item_id"))
+
+
+def test_runs_profiles_and_reports(spark, tmp_path):
+    df = _frame(spark, [(1, 0.5), (2, None)], "item_id long, cluster_id double")
+    sinks.write_run(df, "r1", {"k": 3, "gamma": 1.0}, str(tmp_path / "run"))
+    config = spark.read.json(str(tmp_path / "run/config")).first()
+    assert (config.run, json.loads(config.config)) == ("r1", {"k": 3, "gamma": 1.0})
+    assert spark.read.parquet(str(tmp_path / "run/labels")).count() == 2
+    sinks.write_profiles(df, df.limit(1), str(tmp_path / "profiles"))
+    assert readers.read_profiles(spark, str(tmp_path / "profiles/slim")).count() == 1
+    assert sinks.console(df.orderBy("item_id")).split("\n")[1].split() == ["1", "0.5000"]
+    sinks.write_html(_frame(spark, [("<b>",)], "c string"), str(tmp_path / "page"))
+    assert "&lt;b&gt;" in spark.read.text(str(tmp_path / "page")).first()[0]
+
+
+def test_metered_and_paced(spark):
+    labeller, counts = labelling.metered(spark, labelling.paced(labelling.rule_labeller(["x", "y"]), 1000.0))
+    df = _frame(spark, [(1, "abcde"), (2, "ab")], "id long, v string").coalesce(1)
+    assert labelling.label(df, "id", "v", labeller).count() == 2
+    assert (counts["values"].value, counts["tokens"].value) == (2, 3)

@@ -14,9 +14,24 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def word_concepts(text: Column) -> Column:
-    """The distinct lower-case words of two letters or more."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{2,}"), F.lit(0)))
+#: Words of Latin letters without marks, and of any script.
+LATIN, ANY_SCRIPT = "[a-z]{2,}", r"[\p{L}\p{M}]{2,}"
+
+
+def word_concepts(text: Column, pattern: str = LATIN) -> Column:
+    """The distinct lower-case words of two letters or more; ``ANY_SCRIPT`` takes letters of every script."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)))
+
+
+def usable(text: Column, least: int = 10, beyond: bool = False) -> Column:
+    """Whether a text, trimmed, has ``least`` characters (more with ``beyond``); a null has none."""
+    n = F.length(strip(F.coalesce(text, F.lit(""))))
+    return n > least if beyond else n >= least
+
+
+def shortened(text: Column, limit: int) -> Column:
+    """The first ``limit`` characters: a projection for reports and requests, never for statistics."""
+    return F.substring(text, 1, limit)
 
 
 def prompt_words(text: Column, lists: Lists = DEFAULT) -> Column:
@@ -47,13 +62,13 @@ def drop_reason(concept: Column, is_prompt: Column, lists: Lists = DEFAULT, min_
 
 
 def drop_reason_strict(concept: Column, is_prompt: Column, lists: Lists = DEFAULT) -> Column:
-    """The strict filter: names without guards, fiction, filler, geography, low quality."""
+    """The strict filter: names without guards, fiction, filler, its own patterns, geography, low quality."""
     c = strip(F.lower(concept))
     w = F.split(c, r"\s+")
     return (
         F.when((F.size(w) <= 2) & F.get(w, F.lit(0)).isin(*lists.names), "person_name")
         .when((F.size(w) == 1) & c.isin(*lists.fiction), "fiction")
-        .when(c.isin(*lists.filler) | _any(c, lists.filler_patterns), "llm_filler")
+        .when(c.isin(*lists.filler) | _any(c, lists.strict_patterns), "llm_filler")
         .when(~is_prompt & (F.size(w) == 1) & c.isin(*lists.geo), "geo_noise")
         .when((F.length(c) < 3) | F.regexp_replace(c, "[ .-]", "").rlike("^[0-9]+$") | ((F.size(w) == 1) & c.isin(*lists.noise)), "low_quality")
     )

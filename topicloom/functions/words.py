@@ -17,6 +17,10 @@ class Lists:
     names: tuple[str, ...] = tuple(_NAMES.split())
     filler: tuple[str, ...] = tuple(_FILLER.split("|"))
     filler_patterns: tuple[str, ...] = (r"^(please|kindly) ", r"^(sure|certainly|absolutely)\b", r"\b(as an ai|i am an ai)\b", r"^(here is|here are|this is) ", r" (of|for|to|in)$")
+    strict_patterns: tuple[str, ...] = (
+        r"^(please|kindly)\b", r"^(sure|certainly|absolutely)\b", r"\b(as an ai|i am an ai)\b", r"^(here is|here are|this is|there are)\b", r" (of|for|to|in|and|or|the|a)$",
+        r"^(i|you|we|they|it) ", r"^(let me|let us|feel free|make sure)\b", r"\b(hope|happy|glad) (this|that|to)\b", r"^(can|could|would|will|should) (you|i|we)\b", r"^(step|part|point|option|question|answer) [0-9]+$",
+    )
     noise: tuple[str, ...] = tuple(_NOISE.split())
     geo: tuple[str, ...] = tuple(_GEO.split())
     fiction: tuple[str, ...] = tuple(_FICTION.split())

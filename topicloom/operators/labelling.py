@@ -57,6 +57,36 @@ def retrying(labeller: Labeller, tries: int = 3, wait: float = 1.0) -> Labeller:
     return run
 
 
+def paced(labeller: Labeller, per_second: float) -> Labeller:
+    """At most ``per_second`` batches a second in each task; a cluster's rate is that times its tasks."""
+
+    def run(frames):
+        import time
+
+        last = None
+        for f in frames:
+            if last is not None:
+                time.sleep(max(0.0, last + 1 / per_second - time.monotonic()))
+            last = time.monotonic()
+            yield from labeller(iter([f]))
+
+    return run
+
+
+def metered(spark, labeller: Labeller) -> tuple[Labeller, dict]:
+    """The labeller, and accumulators of batches, values and estimated tokens (four characters each) that it was asked; a task run twice counts twice."""
+    counts = {name: spark.sparkContext.accumulator(0) for name in ("batches", "values", "tokens")}
+
+    def run(frames):
+        for f in frames:
+            counts["batches"].add(1)
+            counts["values"].add(len(f))
+            counts["tokens"].add(int(sum(-(-len(str(v)) // 4) for v in f["value"])))
+            yield from labeller(iter([f]))
+
+    return run, counts
+
+
 def label_kept(df: DataFrame, key: str, value: str, labeller: Labeller, categories: list[str], path: str, *, merge: dict[str, str] | None = None, steps: int = 1) -> DataFrame:
     """(key, label) with every answer kept at ``path``: what has a label there is not asked again.
 
@@ -148,6 +178,13 @@ def merge_categories(concept_labels: DataFrame, target: int) -> DataFrame:
     return x.select("concept", F.coalesce("kept", "kept_broad", F.lit("other")).alias("label"))
 
 
+def consolidate(labels: DataFrame, canonical: DataFrame, label_col: str = "label") -> DataFrame:
+    """``labels`` with each label replaced by its canonical one in (label, canonical); a label that is not there stays. A repeated entry counts by its least name."""
+    to = canonical.where("label is not null and canonical is not null").groupBy(F.col("label").alias("_from")).agg(F.min("canonical").alias("_to"))
+    joined = labels.join(to, F.col(label_col) == F.col("_from"), "left")
+    return joined.withColumn(label_col, F.coalesce("_to", label_col)).drop("_from", "_to")
+
+
 def propagate_labels(weights: DataFrame, concept_labels: DataFrame) -> DataFrame:
     """(item_id, label): the category with most weight among an item's concepts; ties: the least concept's, then the least label."""
     votes = weights.join(concept_labels.where("label <> 'unknown'"), "concept").groupBy("item_id", "label").agg(F.round(F.sum("weight"), 6).alias("w"), F.min("concept").alias("c"))

@@ -44,6 +44,12 @@ def slim(profile: DataFrame, clusters: int = 30, concepts: int = 10, prompts: in
     return profile.orderBy(F.desc("size"), "cluster_id").limit(clusters).select("cluster_id", "size", F.slice("top_concepts.concept", 1, concepts).alias("concepts"), F.slice("example_prompts.prompt", 1, prompts).alias("prompts"))
 
 
+def preview(labels: DataFrame, weights: DataFrame, prompts: DataFrame, clusters: int = 20, concepts: int = 4, examples: int = 3, cut_chars: int = 100) -> DataFrame:
+    """(cluster_id, size, concepts, prompts): a few concepts and prompts of the largest clusters."""
+    p = profiles(labels, weights, prompts, concepts=concepts, examples=examples, least_chars=0, cut_chars=cut_chars)
+    return slim(p, clusters, concepts, examples)
+
+
 def size_summary(labels: DataFrame) -> DataFrame:
     size = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     return size.agg(F.round(F.avg("size"), 6).alias("mean_size"), F.percentile("size", 0.5).alias("median_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"))

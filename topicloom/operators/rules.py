@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 Rule = Callable[[DataFrame], DataFrame]
@@ -45,6 +47,72 @@ def chain(df: DataFrame, *rules: Rule) -> DataFrame:
     return reduce(lambda d, r: d.transform(r), rules, df)
 
 
+def between(column: str, first=None, last=None, enabled: bool = True) -> Rule:
+    """Rows from ``first`` to ``last`` (dates or values, both included; None: open)."""
+
+    def apply(df):
+        needs(df, column)
+        if not enabled:
+            return df
+        for end, ok in ((first, lambda c: c >= first), (last, lambda c: c <= last)):
+            df = df if end is None else df.where(ok(F.col(column)))
+        return df
+
+    return apply
+
+
+def counted(rule: Rule) -> tuple[Rule, tuple[Observation, Observation]]:
+    """The rule, and what Spark observes of it: ``rows`` before and after, filled by the first action, without a job of its own."""
+    before, after = Observation(), Observation()
+    rows = F.count(F.lit(1)).alias("rows")
+    return (lambda df: rule(df.observe(before, rows)).observe(after, rows)), (before, after)
+
+
+@dataclass(frozen=True)
+class Checked:
+    """The outcome of a validation."""
+
+    errors: tuple[str, ...]
+
+    @property
+    def has_errors(self) -> bool:
+        return bool(self.errors)
+
+
+def validate(df: DataFrame, wanted: dict[str, str] | None = None, expectations: dict[str, Column] | None = None, strict: bool = False) -> Checked:
+    """Schema errors and broken expectations of a frame, in one pass; ``strict`` raises them. Expectations are looked at only if the schema holds."""
+    errors = schema_errors(df, wanted or {})
+    if not errors and expectations:
+        errors = [f"{r.rule}: {r.failures} of {r.rows} rows" for r in quality_report(df, expectations).where("failures > 0").collect()]  # one row an expectation
+    if strict and errors:
+        raise ValueError("; ".join(errors))
+    return Checked(tuple(errors))
+
+
+class Frames:
+    """Named frames, each made on first use and kept: ``Frames(raw=lambda f: ..., clean=lambda f: f["raw"]...)``."""
+
+    def __init__(self, **makers: Callable[["Frames"], DataFrame]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name](self).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._made[name]
+
+    def clear(self) -> None:
+        for df in self._made.values():
+            df.unpersist()
+        self._made.clear()
+
+
+def anomalies(df: DataFrame, group: str, value: str, z: float = 2.0) -> DataFrame:
+    """(group, side, n, mean_excess): rows more than ``z`` standard deviations from their group's mean, by group and side."""
+    s = df.groupBy(group).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
+    far = df.select(group, value).join(s, group).withColumn("d", F.round((F.col(value) - F.col("m")) / F.nullif("s", F.lit(0.0)), 6)).where(F.abs("d") > z)
+    return far.groupBy(group, F.when(F.col("d") > 0, "high").otherwise("low").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs("d")) - z, 4).alias("mean_excess"))
+
+
 def quality_report(df: DataFrame, expectations: dict[str, Column]) -> DataFrame:
     """(rule, failures, rows): how many rows break each expectation, in one pass."""
     one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(f"f{i}") for i, c in enumerate(expectations.values())])

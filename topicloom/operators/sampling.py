@@ -78,6 +78,11 @@ def triplets(labels: DataFrame, anchors: DataFrame, seed: int = 42) -> DataFrame
     return own.join(positive, ["cluster_id", "next"]).join(negative, ["to", "spot"]).select("anchor", "positive", "negative")
 
 
+def annotation(sample: DataFrame, prompts: DataFrame, truth: DataFrame) -> DataFrame:
+    """(item_id, prompt, label): the sampled ids that have both a prompt and a label."""
+    return sample.select("item_id").join(prompts.select("item_id", "prompt"), "item_id").join(truth.select("item_id", "label"), "item_id")
+
+
 def tagged(samples: dict[str, DataFrame], column: str = "dataset") -> DataFrame:
     """The samples one below the other, each row with its dataset's name; a column that one lacks is null there."""
     out = None

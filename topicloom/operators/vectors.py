@@ -19,6 +19,28 @@ def concept_vectors(weights: DataFrame, default: float = 0.1) -> DataFrame:
     return l2(weights.select("item_id", F.col("concept").alias("dim"), F.coalesce("weight", F.lit(default)).alias("v")))
 
 
+def paired_vectors(pairs: DataFrame, weights: DataFrame, default: float = 0.1) -> DataFrame:
+    """Unit vectors of all (item_id, concept) pairs; one that has no weight gets ``default``."""
+    known = weights.select("item_id", "concept", "weight")
+    return concept_vectors(pairs.select("item_id", "concept").join(known, ["item_id", "concept"], "left"), default)
+
+
+def hashed(items: DataFrame, dims: int = 64, text_col: str = "prompt") -> DataFrame:
+    """(item_id, v): unit vectors of hashed word counts, in place of a sentence encoder; a text without words is all zeros.
+
+    A word adds 1 or -1, by its hash's ninth digit, to the dimension of its first eight.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("[a-z]{2,}"), F.lit(0))
+    spot = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims
+    w = items.select("item_id", F.transform(words, F.md5).alias("h"))
+    each = w.select("item_id", F.explode("h").alias("h")).groupBy("item_id", spot(F.col("h")).alias("d")).agg(F.sum(F.when(F.substring("h", 9, 1) < "8", 1.0).otherwise(-1.0)).alias("x"))
+    held = each.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("d").cast("int").alias("d"), "x"))).alias("m"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))
+    full = items.select("item_id").join(held, "item_id", "left").select("item_id", v.alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return full.withColumn("n", norm).select("item_id", F.transform("v", lambda x: x / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).alias("v"))
+
+
 def ngrams(items: DataFrame, text_col: str = "prompt", lists: Lists = DEFAULT, longest: int = 2) -> DataFrame:
     """(item_id, term, tf): word unigrams and bigrams without stop-words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("[a-z]{2,}"), F.lit(0))

@@ -7,13 +7,13 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import drop_reason, drop_reason_strict, prompt_words, word_concepts
+from ..functions.text import LATIN, drop_reason, drop_reason_strict, prompt_words, word_concepts
 from ..functions.words import DEFAULT, Lists
 
 
-def item_concepts(items: DataFrame) -> DataFrame:
+def item_concepts(items: DataFrame, pattern: str = LATIN) -> DataFrame:
     """(item_id, concept, in_prompt): the words of prompt and response; in_prompt is 1 if the prompt has it."""
-    side = lambda c, flag: F.transform(word_concepts(F.col(c)), lambda x: F.struct(x.alias("concept"), F.lit(flag).alias("in_prompt")))
+    side = lambda c, flag: F.transform(word_concepts(F.col(c), pattern), lambda x: F.struct(x.alias("concept"), F.lit(flag).alias("in_prompt")))
     each = items.select("item_id", F.explode(F.concat(side("prompt", 1), side("response", 0))).alias("c"))
     return each.groupBy("item_id", F.col("c.concept").alias("concept")).agg(F.max("c.in_prompt").alias("in_prompt"))
 
@@ -23,9 +23,9 @@ def filtered(ic: DataFrame, lists: Lists = DEFAULT, strict: bool = False) -> Dat
     return ic.where(reason.isNull())
 
 
-def df_idf(ic: DataFrame, n: int) -> DataFrame:
-    """(concept, df, idf): idf = ln(n / df)."""
-    return ic.groupBy("concept").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(float(n)) / F.col("df")))
+def df_idf(ic: DataFrame, n: int, plus: int = 0) -> DataFrame:
+    """(concept, df, idf): idf = ln(n / (df + plus)); the ablation takes 1."""
+    return ic.groupBy("concept").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(float(n)) / (F.col("df") + plus)))
 
 
 def surviving(idf: DataFrame, n: int, min_df: int = 3, max_df_pct: float = 0.08, min_idf: float = 0.5) -> DataFrame:

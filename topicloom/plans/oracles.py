@@ -44,7 +44,7 @@ def _reason_strict(c: str, is_prompt: str) -> str:
     w = f"string_split({x}, ' ')"
     return f"""case when len({w}) <= 2 and {w}[1] in ({_list(DEFAULT.names)}) then 'person_name'
   when len({w}) = 1 and {x} in ({_list(DEFAULT.fiction)}) then 'fiction'
-  when {x} in ({_list(DEFAULT.filler)}) or {' or '.join(f"regexp_matches({x}, '{p}')" for p in DEFAULT.filler_patterns)} then 'llm_filler'
+  when {x} in ({_list(DEFAULT.filler)}) or {' or '.join(f"regexp_matches({x}, '{p}')" for p in DEFAULT.strict_patterns)} then 'llm_filler'
   when not {is_prompt} and len({w}) = 1 and {x} in ({_list(DEFAULT.geo)}) then 'geo_noise'
   when len({x}) < 3 or regexp_matches(regexp_replace({x}, '[ .-]', '', 'g'), '^[0-9]+$') or (len({w}) = 1 and {x} in ({_list(DEFAULT.noise)})) then 'low_quality' end"""
 
@@ -317,4 +317,24 @@ select cluster_id, size, concepts, prompts from z left join t using (cluster_id)
     d["comparison_table"] = "select o_orderpriority, round(sum(o_totalprice) filter (where o_orderstatus = 'F'), 2) as F, round(sum(o_totalprice) filter (where o_orderstatus = 'O'), 2) as O, round(sum(o_totalprice) filter (where o_orderstatus = 'P'), 2) as P from orders group by 1"
     d["contract_report"] = f"with {ITEMS} select count(*) as n_rows, count(*) filter (where trim(coalesce(prompt, '')) = '') as n_no_prompt, count(*) filter (where item_id % 3 = 0) as n_labels, count(distinct case when item_id % 3 = 0 then conv_id % 4 end) as n_categories, count(*) filter (where item_id % 3 <> 0) as n_unlabelled from items"
     d["event_windows"] = "select time_bucket(interval '1 day', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2"
+    d["concept_idf_plus_one"] = f"with {IC}, {_kept()} select concept, count(*) as df, round(ln(cast((select n from N) as double) / (count(*) + 1)), 6) as idf from f group by concept"
+    d["concepts_any_script"] = "with " + IC.replace("[a-z]{2,}", r"[\p{L}\p{M}]{2,}") + " select concept, count(*) as df from ic group by concept"
+    d["concept_vectors_default"] = f"with {w}, p as (select f.item_id, f.concept as dim, coalesce(weight, 0.1::double) as v from f left join w on w.item_id = f.item_id and w.concept = f.concept) select item_id, dim, round(v / sqrt(sum(v * v) over (partition by item_id)), 6) as v from p"
+    d["hashed_vectors"] = f"with {ITEMS}, h as (select item_id, md5(unnest(regexp_extract_all(lower(coalesce(prompt, '')), '[a-z]{{2,}}'))) as h from items), x as (select item_id, cast('0x' || substr(h, 1, 8) as bigint) % 64 as d, cast(sum(case when substr(h, 9, 1) < '8' then 1 else -1 end) as double) as x from h group by 1, 2) select item_id, cast(d as varchar) as dim, round(x / sqrt(sum(x * x) over (partition by item_id)), 6) as v from x where x <> 0"
+    clean = r"len(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'))"
+    d["usable_texts"] = f"select doc_id, {clean} >= 10 as judged, {clean} > 10 as profiled, {clean} < 5 as short, substr(text, 1, 100) as first_100, substr(text, 1, 800) as first_800 from documents"
+    d["label_consolidation"] = f"with {w}, {CONCEPT_LAB}, m as (select * from (values {', '.join(str(x) for x in q.CANONICAL)}) t(label, canonical)) select concept, coalesce(canonical, cl.label) as label from cl left join m on m.label = cl.label"
+    d["annotation_rows"] = f"with s as (select doc_id from documents order by {_sample(42, 'doc_id')}, doc_id limit 25) select doc_id as item_id, text as prompt, cast(quality as varchar) as label from s join documents using (doc_id) join labels using (doc_id)"
+    d["cluster_preview"] = d["cluster_profiles"].replace("rank <= 10", "rank <= 4").replace("> 10)", "> 0)").replace("1, 300", "1, 100").replace("limit 30", "limit 20")
+    rounds, before = "", "lab"
+    for n in (1, 2, 3):
+        rounds += f""", m{n} as (select cluster_id, dim, avg(v) as v from lu join {before} using (item_id) group by 1, 2), c{n} as (select cluster_id, dim, v / sqrt(sum(v * v) over (partition by cluster_id)) as v from m{n}),
+s{n} as (select item_id, c.cluster_id, round(sum(lu.v * c.v), 9) as sim from lu join c{n} c using (dim) group by 1, 2), l{n} as (select item_id, cluster_id from (select *, row_number() over (partition by item_id order by sim desc, cluster_id) as r from s{n}) where r = 1)"""
+        before = f"l{n}"
+    d["spherical_refit"] = f"with {LONG}, {LAB}, lu as (select item_id, dim, v / sqrt(sum(v * v) over (partition by item_id)) as v from lg){rounds} select item_id, cluster_id from {before}"
+    d["knn_connectivity"] = f"with {_knn(10)} select least(i, j) as src, greatest(i, j) as dst, count(*) * 0.5::double as weight from kn group by 1, 2"
+    terms = d["class_terms"].replace("rank <= 10", "rank <= 200")
+    d["topic_pairs"] = f"with ct as ({terms}), u as (select cluster_id, term, score / sqrt(sum(score * score) over (partition by cluster_id)) as v from ct) select a.cluster_id as i, b.cluster_id as j, round(sum(a.v * b.v), 4) as sim from u a join u b using (term) where a.cluster_id < b.cluster_id group by 1, 2 having sum(a.v * b.v) >= 0.05::double"
+    d["anomalies"] = "with s as (select event_type, avg(value) as m, stddev_pop(value) as s from events group by 1), f as (select event_type, round((value - m) / nullif(s, 0), 6) as d from events join s using (event_type)) select event_type, case when d > 0 then 'high' else 'low' end as side, count(*) as n, round(avg(abs(d)) - 2.0::double, 4) as mean_excess from f where abs(d) > 2 group by 1, 2"
+    d["date_range"] = "select o_orderkey, o_custkey from orders where cast(o_orderdate as date) between date '1995-01-01' and date '1995-12-31'"
     return d

@@ -490,11 +490,11 @@ def lda_topics(s, d):
 
 def nmf_als(s, d):
     items = cut(_items(s, d), "items")
-    return baselines.nmf(cut(vectors.tfidf(items, items.count()), "tfidf"), 8, iterations=5)
+    return baselines.nmf(cut(vectors.tfidf(items, items.count()), "tfidf"), 8, items, iterations=5)
 
 
 def spectral_pic(s, d):
-    return baselines.spectral(_edges(s, d), 10, 10)
+    return baselines.spectral(_dense(s, d), cut(baselines.connectivity(_knn(s, d, 10)), "edges"), 10, 10)
 
 
 def density_clusters(s, d):
@@ -617,6 +617,73 @@ def ablation_runs(s, d):
     return clustering.ablation({"all": v, "half": half}, {"k4": lambda x: baselines.kmeans(x, 4), "k8": lambda x: baselines.kmeans(x, 8)}, _truth(s, d))
 
 
+def concept_idf_plus_one(s, d):
+    items = _items(s, d)
+    return weights.df_idf(weights.filtered(weights.item_concepts(items)), items.count(), plus=1).select("concept", "df", F.round("idf", 6).alias("idf"))
+
+
+def concepts_any_script(s, d):
+    return weights.item_concepts(_items(s, d), tx.ANY_SCRIPT).groupBy("concept").agg(F.count(F.lit(1)).alias("df"))
+
+
+def concept_vectors_default(s, d):
+    items, _, w = _weights(s, d)
+    return vectors.paired_vectors(weights.filtered(weights.item_concepts(items)), w).withColumn("v", F.round("v", 6))
+
+
+def hashed_vectors(s, d):
+    return vectors.long_form(vectors.hashed(_items(s, d))).where("v <> 0").select("item_id", "dim", F.round("v", 6).alias("v"))
+
+
+def usable_texts(s, d):
+    t = F.col("text")
+    return readers.table(s, d, "documents").select("doc_id", tx.usable(t).alias("judged"), tx.usable(t, 10, beyond=True).alias("profiled"), (~tx.usable(t, 5)).alias("short"), *[tx.shortened(t, n).alias(f"first_{n}") for n in (100, 800)])
+
+
+#: Labels and what they are merged into.
+CANONICAL = [("a:a", "vowels"), ("a:e", "vowels"), ("a:i", "vowels"), ("m:o", "vowels"), ("m:u", "vowels"), ("m:w", "half")]
+
+
+def label_consolidation(s, d):
+    return labelling.consolidate(_concept_labels(s, d)[1], s.createDataFrame(CANONICAL, "label string, canonical string"))
+
+
+def annotation_rows(s, d):
+    docs = readers.table(s, d, "documents").withColumnRenamed("doc_id", "item_id")
+    truth = readers.table(s, d, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").cast("string").alias("label"))
+    return sampling.annotation(sampling.uniform(docs, "item_id", 25), docs.withColumnRenamed("text", "prompt"), truth)
+
+
+def cluster_preview(s, d):
+    items, _, w = _weights(s, d)
+    return profile.preview(_item_labels(s, d), w, items)
+
+
+def spherical_refit(s, d):
+    return baselines.spherical_refit(_dense(s, d), _labels(s, d))
+
+
+def knn_connectivity(s, d):
+    return baselines.connectivity(_knn(s, d, 10))
+
+
+def topic_pairs(s, d):
+    return baselines.topic_pairs(_items(s, d), _item_labels(s, d), 0.05, 200).withColumn("sim", F.round("sim", 4))
+
+
+def topic_model(s, d):
+    items = cut(_items(s, d), "items")
+    return baselines.topic_model(items, cut(vectors.hashed(items), "hashed"))
+
+
+def anomalies(s, d):
+    return rules.anomalies(readers.table(s, d, "events"), "event_type", "value")
+
+
+def date_range(s, d):
+    return rules.chain(readers.table(s, d, "orders"), rules.between("o_orderdate", F.lit("1995-01-01").cast("date"), F.lit("1995-12-31").cast("date"))).select("o_orderkey", "o_custkey")
+
+
 NAMES = [
     items_build, concept_drop_reason, drop_reason_counts, prompt_words, concept_df_idf, concept_weights, ppmi_prompt_response, concept_weights_strict, conv_donor, conv_propagate, cooccurrence, pmi_topk, pmi_densify, pmi_ablation,
     concept_vectors_l2, tfidf_vectors, bow_counts, hybrid_vectors, knn_dense, knn_sparse, knn_edges, knn_min_shared, isolated_nodes, graph_degrees, components, label_propagation, modularity_of_labels, leiden, centroids, assign_singletons,
@@ -625,6 +692,7 @@ NAMES = [
     ensemble_cluster, sweep_grid, best_per_family, top_results, ablation_matrix, concept_pipeline, dense_pipeline, kmeans_dense, spherical_kmeans, pca_kmeans, lda_topics, nmf_als, spectral_pic, density_clusters, class_terms, logreg_labels, flag_filter,
     valid_sorted_sample, null_issues, quality_report, root_causes, comparison_table, contract_report, event_windows,
     rejection_by_category, corrections, disagreements, bias_deltas, rank_vectors, head_to_head, cluster_summary, tagged_samples, ensemble_members, cascade_metrics, concept_sweep, graph_sweep, ensemble_sweep, baseline_suite, ablation_runs,
+    concept_idf_plus_one, concepts_any_script, concept_vectors_default, hashed_vectors, usable_texts, label_consolidation, annotation_rows, cluster_preview, spherical_refit, knn_connectivity, topic_pairs, topic_model, anomalies, date_range,
 ]
 
 

@@ -87,6 +87,20 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -
     return df.select(F.col(id_col).alias("item_id"), F.col(vec_col).cast("array<double>").alias("v"))
 
 
+def aligned(dense: DataFrame, items: DataFrame) -> DataFrame:
+    """The vectors, after a check that each of ``items`` has exactly one and no other item has any."""
+    n = dense.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).join(items.select("item_id").distinct().withColumn("known", F.lit(1)), "item_id", "full")
+    bad = n.where("n is null or known is null or n > 1").agg(F.count(F.lit(1))).first()[0]
+    if bad:
+        raise ValueError(f"{bad} items without exactly one vector, or vectors without an item")
+    return dense
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Cluster profiles that ``sinks.write_json`` wrote."""
+    return spark.read.json(path)
+
+
 def chat_export(df: DataFrame, limit: int = 500) -> DataFrame:
     """(id, prompt) of exported chats: the prompt, else the first human turn, at most ``limit`` characters."""
     has = set(df.columns)
