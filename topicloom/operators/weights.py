@@ -48,11 +48,14 @@ def concept_weights(items: DataFrame, n: int, *, max_df_pct: float = 0.08, min_d
 
 
 def ppmi(items: DataFrame, ic: DataFrame, n: int, lists: Lists = DEFAULT, min_joint: int = 2) -> DataFrame:
-    """(word, concept, joint, ppmi): positive pointwise mutual information (log2) of prompt words and response concepts."""
+    """(word, concept, joint, ppmi): positive pointwise mutual information (log2) of prompt words and response concepts. Words and concepts too rare for ``min_joint`` meet no other."""
     words = items.select("item_id", F.explode(prompt_words(F.col("prompt"), lists)).alias("word"))
     concepts = ic.where("in_prompt = 0").select("item_id", "concept")
     cw = words.groupBy("word").agg(F.count(F.lit(1)).alias("cw"))
     cc = concepts.groupBy("concept").agg(F.count(F.lit(1)).alias("cc"))
+    if min_joint > 1:
+        words = words.join(cw.where(F.col("cw") >= min_joint), "word", "left_semi")
+        concepts = concepts.join(cc.where(F.col("cc") >= min_joint), "concept", "left_semi")
     joint = words.join(concepts, "item_id").groupBy("word", "concept").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_joint)
     value = F.log2(F.col("joint") * F.lit(float(n)) / (F.col("cw") * F.col("cc")))
     return joint.join(cw, "word").join(cc, "concept").withColumn("ppmi", value).where("ppmi > 0").select("word", "concept", "joint", "ppmi")
@@ -62,10 +65,11 @@ def concept_weights_strict(items: DataFrame, n: int, *, max_df_pct: float = 0.03
     """Prompt-anchored rescoring: response concepts stay only if a prompt word explains them (PPMI) or shares a word."""
     ic = filtered(item_concepts(items), lists, strict=True)
     idf = surviving(df_idf(ic, n), n, min_df, max_df_pct, min_idf)
-    pm = ppmi(items, ic, n, lists, min_joint)
     kept = ic.join(idf.select("concept", "idf"), "concept")
+    pm = ppmi(items, kept, n, lists, min_joint)  # all rows of a concept or none are kept, so counts are those over ``ic``
     words = items.select("item_id", F.explode(prompt_words(F.col("prompt"), lists)).alias("word"))
-    best = words.join(pm.select("word", "concept", "ppmi"), "word").groupBy("item_id", "concept").agg(F.max("ppmi").alias("pmi"))
+    pairs = words.join(kept.where("in_prompt = 0").select("item_id", "concept"), "item_id")
+    best = pairs.join(pm.select("word", "concept", "ppmi"), ["word", "concept"]).groupBy("item_id", "concept").agg(F.max("ppmi").alias("pmi"))
     bag = items.select("item_id", prompt_words(F.col("prompt"), lists).alias("bag"))
     rows = kept.join(best, ["item_id", "concept"], "left").join(bag, "item_id")
     overlap = F.arrays_overlap(F.split("concept", " "), F.col("bag"))
