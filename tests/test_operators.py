@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import text as tx
 from topicloom.operators import baselines, cascade, community, evaluate, knn, labelling, propagate, rules, sampling, vectors, weights
+from topicloom.plans import clustering
 from topicloom.sources import readers, sinks
 
 
@@ -453,3 +454,26 @@ def test_metered_and_paced(spark):
     df = _frame(spark, [(1, "abcde"), (2, "ab")], "id long, v string").coalesce(1)
     assert labelling.label(df, "id", "v", labeller).count() == 2
     assert (counts["values"].value, counts["tokens"].value) == (2, 3)
+
+
+def test_facets_are_not_asked_again(spark, tmp_path):
+    def extractor(frames):
+        for f in frames:
+            yield f.assign(label=[("" if v == "later" else f"t | {v}") for v in f["value"]])[["key", "label"]]
+
+    def wrong(frames):
+        for f in frames:
+            yield f.assign(label="x | y | z")[["key", "label"]]
+
+    items = _frame(spark, [(1, "one"), (2, "later"), (None, "none")], "item_id long, prompt string")
+    path = str(tmp_path / "facets")
+    assert [tuple(r) for r in labelling.facets_kept(items, extractor, path, 2).collect()] == [(1, "t", "one", None)]
+    again = {r.item_id: tuple(r)[1:] for r in labelling.facets_kept(items, wrong, path, 2).collect()}
+    assert again == {1: ("t", "one", None), 2: ("x", "y", "z")}
+
+
+def test_bias_runs_keep_going(spark):
+    labels = _frame(spark, [(i, i % 2) for i in range(20)], "item_id long, cluster_id long")
+    truth = labels.select("item_id", F.col("cluster_id").cast("string").alias("label"))
+    got = {r.method: (r.type, r.x, r.y) for r in clustering.bias_runs({"m": ("a", lambda: labels), "bad": ("b", lambda: labels.select("nothing"))}, truth, truth.withColumn("label", F.lit("one"))).collect()}
+    assert got == {"m": ("a", 1.0, 0.0), "bad": ("b", None, None)}

@@ -169,6 +169,14 @@ def subdivided(labels: DataFrame, names: list[str], split: Callable[[str], list[
     return [x for name in names for x in ([f"{name}: {p}" for p in split(name)] if name in large else [name])]
 
 
+def category_samples(concept_labels: DataFrame, most: int = 3) -> DataFrame:
+    """(label, n, concepts): each category's size and its first ``most`` concepts by name, what a request to merge categories shows."""
+    row = F.row_number().over(Window.partitionBy("label").orderBy("concept"))
+    n = concept_labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    first = concept_labels.withColumn("row", row).where(F.col("row") <= most).groupBy("label").agg(F.array_sort(F.collect_list("concept")).alias("concepts"))
+    return n.join(first, "label")
+
+
 def merge_categories(concept_labels: DataFrame, target: int) -> DataFrame:
     """(concept, label): labels beyond the ``target`` most frequent become their broad part, or ``other``."""
     n = concept_labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -209,6 +217,29 @@ def facets(items: DataFrame, facet_rows: DataFrame) -> DataFrame:
     return items.join(f, "item_id", "left").select("item_id", F.coalesce("combined", "prompt").alias("text"))
 
 
+def facets_kept(items: DataFrame, extractor: Labeller, path: str, steps: int = 10) -> DataFrame:
+    """(item_id, topic, task, domain) of (item_id, prompt): answers ``topic | task | domain`` of an extractor, each written to ``path`` and not asked again.
+
+    Open items go in ``steps`` parts by hash, so a call that is broken off loses
+    one part at most. An answer with fewer parts has nulls; an empty or null one
+    is asked again by the next call. A null item is left out.
+    """
+    spark, kind = items.sparkSession, items.schema["item_id"].dataType.simpleString()
+    schema = f"item_id {kind}, answer string"
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
+    rows = items.where("item_id is not null").groupBy("item_id").agg(F.min("prompt").alias("prompt"))
+    answered = lambda: spark.read.schema(schema).parquet(path).where("trim(answer) <> ''")
+    for step in range(steps):
+        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(steps)) == step)
+        part = part.join(answered().select("item_id"), "item_id", "left_anti") if there else part
+        label(part, "item_id", "prompt", extractor).withColumnRenamed("label", "answer").write.mode("append").parquet(path)
+        there = True
+    one = answered().groupBy("item_id").agg(F.min("answer").alias("answer")).join(rows.select("item_id"), "item_id", "left_semi")
+    piece = lambda i: F.nullif(F.trim(F.get(F.split("answer", "[|]"), F.lit(i))), F.lit(""))
+    return one.select("item_id", *[piece(i).alias(name) for i, name in enumerate(("topic", "task", "domain"))])
+
+
 def refine_taxonomy(old: list[str], new: list[str]) -> list[str]:
     """The new taxonomy unless it collapsed to under half of the old one."""
     return new if len(new) >= 0.5 * len(old) else old

@@ -135,6 +135,22 @@ def suite(methods: dict[str, dict], truth: DataFrame, skip: tuple[str, ...] = ()
     return spark.createDataFrame(rows, "family string, run string, nmi double, coverage double, bal double, error string")
 
 
+def bias_runs(methods: dict[str, tuple], x: DataFrame, y: DataFrame) -> DataFrame:
+    """(method, type, x, y): bal of each method's labels (name -> (type, function without arguments)) under two ground truths; a method that fails has nulls."""
+    made = {name: make for name, (_, make) in methods.items()}
+    kept: dict[str, DataFrame] = {}
+
+    def once(name):
+        if name not in kept:
+            kept[name] = cut(made[name](), "labels")
+        return kept[name]
+
+    runs = {"all": {name: (lambda name=name: once(name)) for name in made}}
+    score = lambda truth, c: suite(runs, truth).select(F.col("run").alias("method"), F.col("bal").alias(c))
+    types = x.sparkSession.createDataFrame([(name, kind) for name, (kind, _) in methods.items()], "method string, type string")
+    return types.join(score(x, "x"), "method", "left").join(score(y, "y"), "method", "left")
+
+
 def ablation(representations: dict[str, DataFrame], algorithms: dict, truth: DataFrame) -> DataFrame:
     """(representation, algorithm, nmi, coverage, bal): every algorithm (dense vectors -> labels) on every representation."""
     made = suite({r: {a: (lambda f=f, v=v: f(v)) for a, f in algorithms.items()} for r, v in representations.items()}, truth)

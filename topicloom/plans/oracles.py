@@ -337,4 +337,9 @@ s{n} as (select item_id, c.cluster_id, round(sum(lu.v * c.v), 9) as sim from lu
     d["topic_pairs"] = f"with ct as ({terms}), u as (select cluster_id, term, score / sqrt(sum(score * score) over (partition by cluster_id)) as v from ct) select a.cluster_id as i, b.cluster_id as j, round(sum(a.v * b.v), 4) as sim from u a join u b using (term) where a.cluster_id < b.cluster_id group by 1, 2 having sum(a.v * b.v) >= 0.05::double"
     d["anomalies"] = "with s as (select event_type, avg(value) as m, stddev_pop(value) as s from events group by 1), f as (select event_type, round((value - m) / nullif(s, 0), 6) as d from events join s using (event_type)) select event_type, case when d > 0 then 'high' else 'low' end as side, count(*) as n, round(avg(abs(d)) - 2.0::double, 4) as mean_excess from f where abs(d) > 2 group by 1, 2"
     d["date_range"] = "select o_orderkey, o_custkey from orders where cast(o_orderdate as date) between date '1995-01-01' and date '1995-12-31'"
+    d["category_samples"] = f"with {w}, {CONCEPT_LAB}, r as (select *, row_number() over (partition by label order by concept) as r from cl) select label, count(*) as n, list(concept order by r) filter (where r <= 3) as concepts from r group by label"
+    d["cluster_profiles_truth"] = f"with {ITEMS}, {ITEM_LAB}, t as (select cluster_id, cast(conv_id % 4 as varchar) as label, count(*) as n from il join (select item_id, conv_id from items) using (item_id) group by 1, 2), r as (select *, row_number() over (partition by cluster_id order by n desc, label) as r, sum(n) over (partition by cluster_id) as size from t) select cluster_id, cast(size as bigint) as size, label as dominant, round(n / cast(size as double), 6) as purity from r where r = 1"
+    other = "truth as (select vec_id as item_id, cast(vec_id % 5 as varchar) as label from embeddings)"
+    bal = lambda name, labels, truth: f"(with {labels}, {truth}, {_nmi(name, 'truth')}, me as ({_metrics(name)}) select round(coalesce(nmi, 0) * coverage, 4) from nm, me)"
+    d["bias_runs"] = f"select 'sevenths' as method, 'fixed' as type, {bal('lab', LAB, TRUTH)} as x, {bal('lab', LAB, other)} as y union all select 'third', 'embedding', {bal('st', START, TRUTH)}, {bal('st', START, other)} union all select 'broken', 'fixed', null, null"
     return d

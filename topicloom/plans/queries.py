@@ -684,6 +684,22 @@ def date_range(s, d):
     return rules.chain(readers.table(s, d, "orders"), rules.between("o_orderdate", F.lit("1995-01-01").cast("date"), F.lit("1995-12-31").cast("date"))).select("o_orderkey", "o_custkey")
 
 
+def category_samples(s, d):
+    return labelling.category_samples(_concept_labels(s, d)[1])
+
+
+def cluster_profiles_truth(s, d):
+    items, _, w = _weights(s, d)
+    truth = items.select("item_id", (F.col("conv_id") % 4).cast("string").alias("label"))
+    return profile.profiles(_item_labels(s, d), w, items, truth).select("cluster_id", "size", F.col("gt.dominant").alias("dominant"), F.col("gt.purity").alias("purity"))
+
+
+def bias_runs(s, d):
+    other = _dense(s, d).select("item_id", (F.col("item_id") % 5).cast("string").alias("label"))
+    methods = {"sevenths": ("fixed", lambda: _labels(s, d)), "third": ("embedding", lambda: _start(s, d)), "broken": ("fixed", lambda: _dense(s, d).select("no_such_column"))}
+    return clustering.bias_runs(methods, _truth(s, d), other)
+
+
 NAMES = [
     items_build, concept_drop_reason, drop_reason_counts, prompt_words, concept_df_idf, concept_weights, ppmi_prompt_response, concept_weights_strict, conv_donor, conv_propagate, cooccurrence, pmi_topk, pmi_densify, pmi_ablation,
     concept_vectors_l2, tfidf_vectors, bow_counts, hybrid_vectors, knn_dense, knn_sparse, knn_edges, knn_min_shared, isolated_nodes, graph_degrees, components, label_propagation, modularity_of_labels, leiden, centroids, assign_singletons,
@@ -693,6 +709,7 @@ NAMES = [
     valid_sorted_sample, null_issues, quality_report, root_causes, comparison_table, contract_report, event_windows,
     rejection_by_category, corrections, disagreements, bias_deltas, rank_vectors, head_to_head, cluster_summary, tagged_samples, ensemble_members, cascade_metrics, concept_sweep, graph_sweep, ensemble_sweep, baseline_suite, ablation_runs,
     concept_idf_plus_one, concepts_any_script, concept_vectors_default, hashed_vectors, usable_texts, label_consolidation, annotation_rows, cluster_preview, spherical_refit, knn_connectivity, topic_pairs, topic_model, anomalies, date_range,
+    category_samples, cluster_profiles_truth, bias_runs,
 ]
 
 
