@@ -39,16 +39,24 @@ def similar_pairs(vectors: DataFrame, sigma: float) -> DataFrame:
     from some dimension on is shorter than ``sigma``, that part alone can't
     reach it with any unit vector, so the first dimension that two similar
     items share lies before that point in both: only those prefixes meet.
+    What two prefixes share is summed. The rest of the product lies beyond the
+    shorter prefix and beyond the last shared dimension, so by Cauchy-Schwarz it
+    is at most the one's length there times the other's: pairs that can't
+    reach ``sigma`` go before whole vectors are compared.
     """
     often = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("df"))
     rest = Window.partitionBy("item_id").orderBy("df", "dim").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    first = vectors.join(often, "dim").withColumn("rest", F.sum(F.col("v") * F.col("v")).over(rest)).where(F.col("rest") >= sigma * sigma - 1e-9).select("dim", "item_id")
-    first = cut(first, "prefixes")
+    first = vectors.join(often, "dim").withColumn("rest", F.sum(F.col("v") * F.col("v")).over(rest)).where(F.col("rest") >= sigma * sigma - 1e-9)
+    first = first.withColumn("after", F.greatest(F.col("rest") - F.col("v") * F.col("v"), F.lit(0.0)))  # squared length behind the dimension
+    first = first.withColumn("tail", F.min("after").over(Window.partitionBy("item_id")))  # and behind the prefix
+    first = cut(first.select("dim", "item_id", "v", "after", "tail"), "prefixes")
     parts = first.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dim", F.ceil(F.col("n") / DIM_ROWS).cast("int").alias("parts"))
     rows = first.join(parts, "dim")
-    a = rows.select("dim", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int").alias("salt"), F.col("item_id").alias("i"))
-    b = rows.select("dim", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("item_id").alias("j"))
-    pairs = a.join(b, ["dim", "salt"]).where("i < j").select("i", "j").distinct()
+    a = rows.select("dim", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int").alias("salt"), F.col("item_id").alias("i"), F.col("v").alias("u"), F.col("after").alias("ai"), F.col("tail").alias("ti"))
+    b = rows.select("dim", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("item_id").alias("j"), F.col("v").alias("w"), F.col("after").alias("aj"), F.col("tail").alias("tj"))
+    pairs = a.join(b, ["dim", "salt"]).where("i < j").groupBy("i", "j").agg(F.sum(F.col("u") * F.col("w")).alias("part"), F.min("ai").alias("ai"), F.min("aj").alias("aj"), F.max("ti").alias("ti"), F.max("tj").alias("tj"))
+    most = F.col("part") + F.sqrt(F.greatest(F.col("ti") * F.col("aj"), F.col("tj") * F.col("ai")))
+    pairs = pairs.where(most >= sigma - 1e-6).select("i", "j")
     whole = cut(vectors.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m")), "maps")
     pairs = pairs.join(whole.select(F.col("item_id").alias("i"), F.col("m").alias("x")), "i").join(whole.select(F.col("item_id").alias("j"), F.col("m").alias("y")), "j")
     dot = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("y", e["key"]), F.lit(0.0)))
