@@ -507,3 +507,23 @@ def test_similar_pairs_by_shared_dimensions(spark):
     both = (x > 0).astype(int) @ (x > 0).T.astype(int)
     want = {(i, j): both[i, j] for i in range(len(x)) for j in range(i + 1, len(x)) if x[i] @ x[j] >= 0.5 and both[i, j] >= 4}
     assert want and {(r.i, r.j): r.shared for r in knn.similar_pairs(v, 0.5, shared=4).collect()} == want
+
+
+def test_moves_give_nodes_a_turn_only_when_due(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 400  # ten groups with few links between them
+    pairs = {(min(a, b), max(a, b)) for a in range(n) for b in np.r_[rng.choice(np.arange(a % 10, n, 10), 6), rng.integers(n)] if a != b}
+    s, d = (np.array(x) for x in zip(*sorted(pairs)))
+    src, dst = np.r_[s, d], np.r_[d, s]
+    w = np.ones(len(src))
+    k = np.bincount(src, minlength=n).astype(float)
+    assert community.PASSES == 50
+    calls = []
+    monkeypatch.setattr(np, "unique", lambda *a, f=np.unique, **b: calls.append(1) or f(*a, **b))
+    label = community._move(n, src, dst, w, k, 1 / w.sum(), np.arange(n))
+    assert not calls  # none for a node's turn
+    for i in range(n):  # no node of all wants to move
+        gain = lambda c: w[(src == i) & (label[dst] == c)].sum() - k[i] / w.sum() * (k[label == c].sum() - (k[i] if label[i] == c else 0))  # noqa: B023, E731
+        assert max(gain(c) for c in set(label[dst[src == i]])) <= gain(label[i]) + 1e-9
