@@ -527,3 +527,56 @@ def test_moves_give_nodes_a_turn_only_when_due(monkeypatch):
     for i in range(n):  # no node of all wants to move
         gain = lambda c: w[(src == i) & (label[dst] == c)].sum() - k[i] / w.sum() * (k[label == c].sum() - (k[i] if label[i] == c else 0))  # noqa: B023, E731
         assert max(gain(c) for c in set(label[dst[src == i]])) <= gain(label[i]) + 1e-9
+
+
+def test_tables_leave_no_shuffle_files_and_can_be_forgotten(spark):
+    import os
+
+    from topicloom.session import cut, forget
+
+    files = lambda: {f.getName() for f in _each(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    held = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "held")
+    assert not _lasting(files, before)
+    assert len(held.collect()) == 7
+    assert os.path.isdir(path := held.written_at.removeprefix("file://"))
+    forget(held)
+    assert not os.path.exists(path)
+
+
+def _each(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def _lasting(files, before):
+    """Shuffle data written since, once removal had five seconds."""
+    import time
+
+    for _ in range(50):
+        if not (left := {f for f in files() - before if f.endswith(".data")}):
+            break
+        time.sleep(0.1)
+    return left
+
+
+def test_texts_are_dealt_out_before_their_words(spark):
+    rows = [(1, "Red apples and red pears", "green plums"), (1, "blue plums", None), (2, None, "Red sky")]
+    ic = weights.item_concepts(_frame(spark, rows, "item_id long, prompt string, response string"))
+    plan = ic._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # the parent stands first
+    got = sorted((r.item_id, r.concept, r.in_prompt) for r in ic.collect())
+    assert got == sorted([(1, "red", 1), (1, "apples", 1), (1, "and", 1), (1, "pears", 1), (1, "green", 0), (1, "plums", 1), (1, "blue", 1), (2, "red", 0), (2, "sky", 0)])
+
+
+def test_halved_products_give_the_rows_of_both_blocks(spark, monkeypatch):
+    from topicloom.operators import products
+
+    monkeypatch.setattr(products, "LEAST_ROWS", 20)  # several blocks
+    x, v = _random_vectors(spark)
+    same = v.where("item_id = 3").select(F.explode(F.expr("sequence(1003L, 1012L)")).alias("item_id"), "dim", "v")  # a group of copies: ties go to the least ids
+    v = v.unionByName(same)
+    plain = {(r.i, r.j, r["rank"]) for r in knn.knn_sparse(v, 4).collect() if r.sim >= 0.5}
+    assert plain and {(r.i, r.j, r["rank"]) for r in knn.knn_sparse(v, 4, 0.5).collect()} == plain
+    assert products.grid(100_000_000, 1_000_000)[1] == 1 and products.grid(9, 1) == (12, 1)
