@@ -580,3 +580,26 @@ def test_halved_products_give_the_rows_of_both_blocks(spark, monkeypatch):
     plain = {(r.i, r.j, r["rank"]) for r in knn.knn_sparse(v, 4).collect() if r.sim >= 0.5}
     assert plain and {(r.i, r.j, r["rank"]) for r in knn.knn_sparse(v, 4, 0.5).collect()} == plain
     assert products.grid(100_000_000, 1_000_000)[1] == 1 and products.grid(9, 1) == (12, 1)
+
+
+def test_pairs_of_concepts_and_centroids_stay_within_tasks(spark, monkeypatch):
+    from topicloom.operators import products
+
+    w = _frame(spark, [(i, f"c{(i * i + 7 * j) % 23}", round(0.1 + 0.01 * j, 2)) for i in range(60) for j in range(5)], "item_id long, concept string, weight double").dropDuplicates(["item_id", "concept"])
+    top = propagate.associates(w, 60, top_k=3, min_pmi=0.2)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" in plan and "Aggregate" not in plan  # no pair is summed up between tasks
+    x, v = _random_vectors(spark)
+    labels = v.select("item_id").distinct().withColumn("cluster_id", F.when(F.col("item_id") % 3 == 0, F.col("item_id") % 4).otherwise(F.col("item_id") + 100))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    results = lambda: (rows(propagate.associates(w, 60, top_k=3, min_pmi=0.2)), rows(propagate.densify(w, 60, top_k=3, min_pmi=0.2, max_new=4)), rows(cascade.assign_singletons(v, labels, 0.1)))
+    one = results()
+    monkeypatch.setattr(products, "ENTRIES", 100)  # several blocks
+    assert all(one) and results() == one
+    moved = {i: c for i, c in one[2]}
+    group = {c: [i for i in range(len(x)) if i % 3 == 0 and i % 4 == c] for c in range(4)}
+    mean = {c: x[i].mean(axis=0) for c, i in group.items()}
+    for i in range(len(x)):
+        if i % 3:
+            sim, to = max((round(float(x[i] @ m / (m @ m) ** 0.5), 9), -c) for c, m in mean.items())
+            assert moved[i] == (-to if sim >= 0.1 else i + 100)
