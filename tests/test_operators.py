@@ -603,3 +603,24 @@ def test_pairs_of_concepts_and_centroids_stay_within_tasks(spark, monkeypatch):
         if i % 3:
             sim, to = max((round(float(x[i] @ m / (m @ m) ** 0.5), 9), -c) for c, m in mean.items())
             assert moved[i] == (-to if sim >= 0.1 else i + 100)
+
+
+def test_rounds_of_blocks_give_the_same_rows_and_deal_out_a_part(spark, monkeypatch):
+    from topicloom.operators import products
+
+    w = _frame(spark, [(i, f"c{(i * i + 7 * j) % 23}", round(0.1 + 0.01 * j, 2)) for i in range(60) for j in range(5)], "item_id long, concept string, weight double").dropDuplicates(["item_id", "concept"])
+    w = w.unionByName(_frame(spark, [(100, "c1", None), (100, "c2", 0.5)], "item_id long, concept string, weight double"))
+    _, v = _random_vectors(spark)
+    labels = v.select("item_id").distinct().withColumn("cluster_id", F.when(F.col("item_id") % 3 == 0, F.col("item_id") % 4).otherwise(F.col("item_id") + 100))
+    rows = lambda d: sorted(map(str, d.collect()))
+    near = lambda d: sorted((r.i, r.j, round(r.sim, 12), r["rank"]) for r in d.collect())
+    results = lambda: (
+        rows(propagate.associates(w, 60, top_k=3, min_pmi=0.2)), rows(propagate.densify(w, 60, top_k=3, min_pmi=0.2, max_new=4)), rows(cascade.assign_singletons(v, labels, 0.1)),
+        near(knn.knn_sparse(v, 3, 0.05)), rows(knn.similar_pairs(v, 0.1).select("i", "j", "shared")),
+    )
+    one = results()
+    for n in (1, 5, 30, 400):
+        assert n * (n + 1) / 2 / products.n_rounds(n, n, True) <= max(12, n)
+    monkeypatch.setattr(products, "sparse_blocks", lambda p: 3)
+    monkeypatch.setattr(products, "n_rounds", lambda *a: 2)
+    assert all(one) and results() == one
