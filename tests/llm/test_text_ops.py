@@ -339,3 +339,19 @@ def test_html_main_text(spark):
     out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")).collect()}
     assert out[1].split("\n") == ["Fish & chips", "First para­graph goes on.", "Second.", "Third one <here>."]
     assert out[2] == out[3] == out[5] == out[6] == "" and out[4] == "unclosed text is here for you to read" and out[7] == "plain < text & more words of it"
+
+
+def test_driver_gives_back_memory_between_tables(spark, monkeypatch):
+    from topicloom.llm import common
+
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: heap.totalMemory() - heap.freeMemory()
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.0)
+    held = [bytes(1 << 20) for _ in range(8)]
+    for b in held:
+        spark.sparkContext._jvm.java.lang.String(b)  # garbage
+    before = used()
+    common.discard(common.materialise(spark.range(10), "some"))
+    assert used() < before
+    monkeypatch.setattr(common, "HEAP_SHARE", 1.0)
+    assert not common.release(spark)
